@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("documents", "catalog")
+MODULES = ("documents", "catalog", "search")
 
 for _m in MODULES:
     importlib.import_module(f"{__name__}.{_m}")
