@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("documents", "catalog", "search")
+MODULES = ("documents", "catalog", "search", "selection")
 
 for _m in MODULES:
     importlib.import_module(f"{__name__}.{_m}")
