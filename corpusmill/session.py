@@ -17,6 +17,7 @@ def local_session(cpus: str | int = 8, shuffle_partitions: int = 8, app: str = "
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.compress", "true")
         .config("spark.driver.memory", "16g")
         .getOrCreate()
     )
