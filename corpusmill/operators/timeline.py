@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, groupby
+from itertools import combinations, groupby, islice
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -118,26 +117,37 @@ def iou_pairs(a: DataFrame, b: DataFrame, threshold_micro: int = 0) -> DataFrame
     return out.filter(F.col("iou") >= threshold_micro).select("frame", "class", "id_a", "id_b", "iou")
 
 
+def _buffered(rows: Iterator[tuple], columns: list[str], nullable: tuple[str, ...] = (), size: int = 8192) -> Iterator[pd.DataFrame]:
+    """Row tuples as data frames of a fair size: one frame per group would cost more than the work itself."""
+    while chunk := list(islice(rows, size)):
+        yield pd.DataFrame(chunk, columns=columns).astype({c: "Int64" for c in nullable})
+
+
 def nms(dets: DataFrame, threshold: float) -> DataFrame:
     """Greedy non-maximum suppression per (image, class): image, class, id, score, x1, y1, x2, y2 -> kept rows with their
-    keep order. Ties by id. One image's detections are one bounded group."""
+    keep order. Ties by id. Groups stream through sorted partitions, best score first; only what was kept so far in the
+    current group is held."""
     key = dict(dets.dtypes)
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "id"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        box = pdf[["x1", "y1", "x2", "y2"]].to_numpy(dtype="float64")
-        area = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
-        alive, kept = np.ones(len(pdf), dtype=bool), []
-        for i in range(len(pdf)):
-            if alive[i]:
-                kept.append(i)
-                lo, hi = np.maximum(box[i, :2], box[:, :2]), np.minimum(box[i, 2:], box[:, 2:])
-                inter = np.prod(np.maximum(hi - lo, 0.0), axis=1)
-                alive &= inter / (area[i] + area - inter + 1e-9) <= threshold
-        out = pdf.loc[kept, ["image", "class", "id"]]
-        return out.assign(keep_order=range(1, len(kept) + 1))
+    def kept_rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        rows = (r for b in batches for r in b.itertuples(index=False))
+        for (image, cls), run in groupby(rows, key=lambda r: (r.image, r.cls)):
+            kept: list[tuple] = []
+            for r in run:
+                area = (r.x2 - r.x1) * (r.y2 - r.y1)
+                for x1, y1, x2, y2, other in kept:
+                    inter = max(0.0, min(x2, r.x2) - max(x1, r.x1)) * max(0.0, min(y2, r.y2) - max(y1, r.y1))
+                    if inter / (other + area - inter + 1e-9) > threshold:
+                        break
+                else:
+                    kept.append((r.x1, r.y1, r.x2, r.y2, area))
+                    yield image, cls, r.id, len(kept)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _buffered(kept_rows(batches), ["image", "class", "id", "keep_order"])
 
-    return dets.groupBy("image", "class").applyInPandas(keep, f"image {key['image']}, class {key['class']}, id {key['id']}, keep_order bigint")
+    d = dets.withColumnRenamed("class", "cls").repartition("image", "cls").sortWithinPartitions("image", "cls", F.desc("score"), "id")
+    return d.mapInPandas(walk, f"image {key['image']}, class {key['class']}, id {key['id']}, keep_order bigint")
 
 
 def _box_iou(a, b) -> tuple[int, int]:
@@ -157,7 +167,7 @@ def track_greedy(dets: DataFrame, iou_threshold: float = 0.3, max_age: int = 2)
     and do not age a track."""
     key = dict(dets.dtypes)
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def links(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for media, rows in ordered_groups(batches, "media"):
             tracks, born = [], 0          # live tracks: [id, class, box, age]
             for frame, run in groupby(rows, key=lambda r: r.frame):
@@ -177,7 +187,6 @@ def track_greedy(dets: DataFrame, iou_threshold: float = 0.3, max_age: int = 2)
                 for t in tracks:
                     t[3] += 1
                 by_id = {t[0]: t for t in tracks}
-                out = []
                 for d, cls, box in found:
                     if d not in owner:
                         owner[d] = born
@@ -185,9 +194,11 @@ def track_greedy(dets: DataFrame, iou_threshold: float = 0.3, max_age: int = 2)
                         tracks.append(by_id[born])
                         born += 1
                     by_id[owner[d]][2:] = [box, 0]
-                    out.append((media, frame, d, owner[d]))
+                    yield media, frame, d, owner[d]
                 tracks = [t for t in tracks if t[3] <= max_age]
-                yield pd.DataFrame(out, columns=["media", "frame", "det", "track"])
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _buffered(links(batches), ["media", "frame", "det", "track"])
 
     return _in_sorted_partitions(dets.withColumnRenamed("class", "cls"), "media", ["frame", "det"], walk,
                                  f"media {key['media']}, frame {key['frame']}, det {key['det']}, track bigint")
@@ -262,7 +273,7 @@ def track_stable(dets: DataFrame, iou_threshold_q: int = 300_000, max_gap_ms: in
                 return 2 * MICRO + dist, "centroid", max(0, MICRO - dist)
         return None
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def observations(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for media, rows in ordered_groups(batches, "media"):
             live: list[dict] = []
             born = 0
@@ -290,9 +301,10 @@ def track_stable(dets: DataFrame, iou_threshold_q: int = 300_000, max_gap_ms: in
                 for t in live:
                     t["missed"] += t["at"] != sample
                 live = [t for t in live if t["missed"] <= max_missed]
-                if out:
-                    yield pd.DataFrame(out, columns=["media", "sample", "det", "track", "link", "quality", "gap_ms", "missed"]).astype(
-                        {"quality": "Int64", "gap_ms": "Int64"})
+                yield from out
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _buffered(observations(batches), ["media", "sample", "det", "track", "link", "quality", "gap_ms", "missed"], ("quality", "gap_ms"))
 
     return _in_sorted_partitions(dets.withColumnRenamed("class", "cls"), "media", ["sample", "det"], walk,
                                  f"media {key['media']}, sample {key['sample']}, det bigint, track bigint, link string, quality bigint, gap_ms bigint, missed bigint")

@@ -69,9 +69,9 @@ def change_members(t):
 
 
 @query("iteration_build", """
-WITH d AS (SELECT o_orderkey, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) AS at FROM orders),
-per AS (SELECT DISTINCT at // 90 AS period, (at // 90) * 90 AS f, (at // 90) * 90 + 89 AS l FROM d)
-SELECT period, count(DISTINCT o_orderkey) AS records, count(DISTINCT l_suppkey) AS members FROM per JOIN d ON d.at BETWEEN f AND l LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
+WITH d AS (SELECT o_orderkey, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) AS dd FROM orders),
+per AS (SELECT DISTINCT dd // 90 AS period, (dd // 90) * 90 AS f, (dd // 90) * 90 + 89 AS l FROM d)
+SELECT period, count(DISTINCT o_orderkey) AS records, count(DISTINCT l_suppkey) AS members FROM per JOIN d ON d.dd BETWEEN f AND l LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
 def _iterations(t):
     log = change_log(t)
     per = log.select(F.expr("at div 90").alias("period")).distinct().select("period", (F.col("period") * 90).alias("first"), (F.col("period") * 90 + 89).alias("last"))
@@ -79,8 +79,8 @@ def _iterations(t):
 
 
 @query("new_since", """
-WITH d AS (SELECT o_orderkey, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) AS at FROM orders)
-SELECT l_suppkey AS member, arg_min(o_orderkey, (at, o_orderkey)) AS first_record, count(*) AS n FROM d JOIN lineitem ON l_orderkey = o_orderkey WHERE at > 2000 GROUP BY 1""")
+WITH d AS (SELECT o_orderkey, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) AS dd FROM orders)
+SELECT l_suppkey AS member, arg_min(o_orderkey, (dd, o_orderkey)) AS first_record, count(*) AS n FROM d JOIN lineitem ON l_orderkey = o_orderkey WHERE dd > 2000 GROUP BY 1""")
 def _new(t):
     return A.new_since(change_log(t), change_members(t), 2000)
 
