@@ -38,3 +38,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise an iterative result in reliable storage, so a lost executor never replays earlier rounds."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """Spread a table that was stored in fewer splits than there are cores. Tables of normal size, which have more
+    splits than cores, are returned as they are: no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
