@@ -52,9 +52,8 @@ def occurrences(t):
     a = lexical_hits(t, DEPTH).select("query_id", F.concat(F.lit("rv"), "chunk_id").alias("rvid"), F.lit("lexical").alias("channel"), "rank", "score")
     q = Q.query_terms(bench_queries(t), Q.fts_tokens)
     c = chunks(t)
-    folded = Q.bm25_scores(q, Q.postings(c, q, Q.fts_tokens), Q.corpus_totals(c, Q.fts_tokens)).filter("score > 0").join(
-        c.select("chunk_id", "source_path"), "chunk_id")
-    b = Q.top_k(folded, DEPTH, [F.desc("score"), F.asc("source_path"), F.asc("chunk_id")]).select(
+    folded = Q.bm25_scores(q, Q.postings(c, q, Q.fts_tokens), Q.corpus_totals(c, Q.fts_tokens)).filter("score > 0")
+    b = Q.best_chunks(folded, c, DEPTH).select(
         "query_id", F.concat(F.lit("rv"), "chunk_id").alias("rvid"), F.lit("folded").alias("channel"), "rank", "score")
     return a.unionByName(b)
 
