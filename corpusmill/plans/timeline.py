@@ -150,10 +150,10 @@ def _stable(t):
 
 
 @query("near_duplicate_hashes", """
-WITH h AS (SELECT vec_id AS id, array_to_string(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i + 1] > embedding[i] THEN '1' ELSE '0' END), '') AS bits FROM embeddings), d AS (SELECT DISTINCT bits FROM h)
-SELECT a.bits AS hash_a, b.bits AS hash_b, hamming(a.bits, b.bits)::BIGINT AS distance FROM d a JOIN d b ON a.bits < b.bits WHERE hamming(a.bits, b.bits) <= 5""")
+WITH h AS (SELECT vec_id AS id, array_to_string(list_transform(range(1, len(embedding)), lambda i: CASE WHEN embedding[i + 1] > embedding[i] THEN '1' ELSE '0' END), '') AS bits FROM embeddings), d AS (SELECT DISTINCT bits FROM h)
+SELECT a.bits AS hash_a, b.bits AS hash_b, hamming(a.bits, b.bits)::BIGINT AS distance FROM d a JOIN d b ON a.bits < b.bits WHERE hamming(a.bits, b.bits) <= 11""")
 def _neardup(t):
-    bits = F.substring(P.difference_bits(F.col("embedding")), 1, 32)
-    return M.near_dup_pairs(t.embeddings.select(F.col("vec_id").alias("id"), bits.alias("bits")), 5, 32, 2)[0]
+    bits = P.difference_bits(F.col("embedding"))
+    return M.near_dup_pairs(t.embeddings.select(F.col("vec_id").alias("id"), bits.alias("bits")), 11, 63, 2)[0]
 
 
