@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import byte_bpe, quality_mil, toxicity_ftrl
+from corpusmill.llm import byte_bpe, decontaminate, line_dedup, near_dedup, quality_mil, toxicity_ftrl
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 QUALITY_KEPT, TOXIC = 0.7, 0.5
@@ -24,6 +24,11 @@ def _scored(df: DataFrame, held_out, threshold: float) -> DataFrame:
     return df.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_dedup.drop_boilerplate(docs, dropped_name="n_dropped").select("doc_id", "text", "n_dropped")
+
+
 def op2_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = _table(spark, sf_dir, "documents").select("doc_id", "text"), _bucket(4) == 2
     model = quality_mil.fit(docs, _table(spark, sf_dir, "labels").filter(~held_out))
@@ -44,5 +49,14 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_mil, op3_toxicity_ftrl, op4_byte_bpe)}
-SQL: dict[str, str] = {}
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("m")).select("doc_id", "m.item_id", "m.distance", "m.start", "m.end")
+
+
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_mil, op3_toxicity_ftrl, op4_byte_bpe, op7_decontaminate, op8_near_dedup)}
+SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL}
