@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import byte_bpe, decontaminate, line_dedup, near_dedup, quality_mil, toxicity_ftrl
+from corpusmill.llm import byte_bpe, chat_trees, decontaminate, disclosure, line_dedup, near_dedup, quality_mil, quality_rules, toxicity_ftrl, warc
+from corpusmill.llm.common import shared_path, stored
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 QUALITY_KEPT, TOXIC = 0.7, 0.5
@@ -49,6 +50,24 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+def op6_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema))
+    done = chat_trees.conversations(stored(chat_trees.linear(rows), "messages"))
+    turns = chat_trees.read_back(F.col("formatted"))
+    loss = chat_trees.masked(F.col("formatted"), F.col("loss"))
+    back = stored(done.select(F.col("tree").alias("conv_id"), turns.alias("turns"), loss.alias("loss"), F.length("formatted").cast("bigint").alias("formatted_chars")), "read_back")
+    said_by = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return back.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said_by, 256).alias("turns_sha256"), F.length("loss").cast("bigint").alias("loss_chars"),
+                       F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.matches(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.explode("leaks").alias("m")).select("doc_id", "m.item_id", "m.distance", "m.start", "m.end")
@@ -58,5 +77,19 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_mil, op3_toxicity_ftrl, op4_byte_bpe, op7_decontaminate, op8_near_dedup)}
-SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL}
+def op9_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = disclosure.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [disclosure.count("base", kind).alias(f"n_{kind}") for kind in disclosure.PATTERNS]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(disclosure.listed(F.col("base")), 256).alias("base_sha256"), disclosure.listed(F.col("spans")).alias("spans"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    path = shared_path(pages, "warc")
+    warc.write(pages, path)
+    return warc.read(spark, path, payloads=False).select(F.col("id").alias("page_id"), F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_mil, op3_toxicity_ftrl, op4_byte_bpe, op5_quality_rules,
+                                  op6_chat_trees, op7_decontaminate, op8_near_dedup, op9_disclosure, op10_warc)}
+SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op6_chat_trees": chat_trees.SQL, "op10_warc": warc.SQL}
