@@ -2,15 +2,16 @@
 
 A document's set is its distinct shingles of four words, lower-cased in A-Z; with fewer words, the whole sequence is one. Each
 document gets 240 MinHash samples, 40 band keys of six samples each (a pair of similarity 0.8 meets in no band once in two
-hundred thousand), and an odd sketch: the samples folded into a bitmap of 512 parities. The exclusive or of two sketches
+hundred thousand), and an odd sketch: the samples folded into a bitmap of 2048 parities. The exclusive or of two sketches
 counts, by its population, the samples in which they differ.
 
 1. Documents with equal sets are one class, represented by its smallest id; only classes go on.
-2. In each band bucket every class is paired with the smallest one. Pairs whose sketches and sizes can belong to the wanted
-   similarity stay, one for each class, and are confirmed on the full sets.
-3. Components of the confirmed links. In a bucket that still holds several components, the classes outside its largest
-   one are compared with all classes of other components: sketches in the join, then full sets. So no two classes of a
-   bucket stay uncompared unless they are in one component already, and nobody pairs a large group with itself.
+2. In each band bucket every class is paired with the smallest one. Of the pairs whose sketches and sizes can belong to the
+   wanted similarity, each class's closest by sketch is confirmed on the full sets; the links give components.
+3. In a bucket that still holds several components, the classes outside its largest one are paired with another member
+   of that one, drawn anew each round. What then is still apart in a bucket is compared with all classes of its other components:
+   finer sketches (2048 samples, 8192 bits) inside the join, then full sets. So no two classes of a bucket stay
+   uncompared unless they are in one component already, and no large group is paired with itself.
 4. Components again, over all links.
 
 Null and empty texts have no shingles and are linked with nothing; a row without id is its own component (null). Rows that
@@ -29,12 +30,16 @@ from pyspark.sql import types as T
 
 from corpusmill.llm.common import Words, append_columns, scramble, stored
 
-WORDS, SAMPLES, ROWS, SKETCH = 4, 240, 6, 512
+WORDS, SAMPLES, ROWS, SKETCH, BLOCKS = 4, 240, 6, 2048, 2048
+#: Rounds of pairing with one member of a bucket before all that is still apart is compared.
+TURNS = 2
+#: The finer sketch of classes that first rounds leave apart: samples and bits.
+FINE_SAMPLES, FINE_SKETCH = 2048, 8192
 _WORD = np.array([b not in b" \t\n\r\x0b\x0c" for b in range(256)])
 _LOWER = bytes(range(256)).lower()
 _RANDOM = np.random.default_rng(20)
-_TIMES = _RANDOM.integers(0, 2**31, SAMPLES, np.uint32) * np.uint32(2) + np.uint32(1)
-_PLUS = _RANDOM.integers(0, 2**32, SAMPLES, np.uint32)
+_TIMES = _RANDOM.integers(0, 2**31, FINE_SAMPLES, np.uint32) * np.uint32(2) + np.uint32(1)
+_PLUS = _RANDOM.integers(0, 2**32, FINE_SAMPLES, np.uint32)
 
 
 def shingle_sets(texts: list) -> list[np.ndarray]:
@@ -60,12 +65,13 @@ def shingle_sets(texts: list) -> list[np.ndarray]:
     return out
 
 
-def samples(shingles: np.ndarray) -> np.ndarray:
+def samples(shingles: np.ndarray, count: int = SAMPLES) -> np.ndarray:
     """MinHash samples of a set that isn't empty."""
-    low = np.full(SAMPLES, 2**32 - 1, np.uint32)
+    low = np.full(count, 2**32 - 1, np.uint32)
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    for i in range(0, len(x), 1024):
-        np.minimum(low, (x[i:i + 1024, None] * _TIMES + _PLUS).min(0), out=low)
+    step = max(1, 250_000 // count)
+    for i in range(0, len(x), step):
+        np.minimum(low, (x[i:i + step, None] * _TIMES[:count] + _PLUS[:count]).min(0), out=low)
     return low
 
 
@@ -77,16 +83,18 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def odd_sketch(low: np.ndarray) -> np.ndarray:
-    """Eight 64-bit words: bit b is the parity of the number of samples that fall on b."""
-    place = scramble((np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32)) | low) % np.uint64(SKETCH)
-    return np.packbits((np.bincount(place.astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64)
+def odd_sketch(low: np.ndarray, bits: int = SKETCH) -> np.ndarray:
+    """64-bit words: bit b is the parity of the number of samples that fall on b."""
+    place = scramble((np.arange(len(low), dtype=np.uint64) << np.uint64(32)) | low) % np.uint64(bits)
+    return np.packbits((np.bincount(place.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
-def most_bits(similarity: float = 0.6) -> int:
-    """The population count that a similarity's differing samples give on average: d = 2 * SAMPLES * (1 - similarity) bits flipped
-    at random leave SKETCH / 2 * (1 - exp(-2 d / SKETCH)) of them set. 0.6 stands five deviations below 0.8."""
-    return int(SKETCH / 2 * (1 - np.exp(-2 * 2 * SAMPLES * (1 - similarity) / SKETCH)))
+def most_bits(count: int = SAMPLES, bits: int = SKETCH, wanted: float = 0.8, deviations: float = 5.0) -> int:
+    """The population count up to which a pair of the wanted similarity may come. Of ``count`` samples a binomial number differ,
+    and each of them flips two bits at random: d flips leave bits / 2 * (1 - exp(-2 d / bits)) of them set."""
+    differ = count * (1 - wanted) + deviations * (count * wanted * (1 - wanted)) ** 0.5
+    spread = bits / 2 * (1 - np.exp(-4 * differ / bits))
+    return int(spread + deviations / 2 * (differ * 2 * differ * 2 / bits) ** 0.5)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -104,11 +112,51 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return append_columns(rows, ["text"], fields, lambda: work).drop("text")
 
 
-def _plausible(a: str, b: str, percent: int):
+def _apart(a: str, b: str):
+    """In how many bits the sketches differ."""
+    return F.aggregate(F.zip_with(F.col(f"{a}.sketch"), F.col(f"{b}.sketch"), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
+
+
+def _plausible(a: str, b: str, percent: int, most: int):
     """Can the two belong together, by the sizes of their sets and by their sketches?"""
-    bits = F.aggregate(F.zip_with(F.col(f"{a}.sketch"), F.col(f"{b}.sketch"), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
     low, high = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    return (low * 100 >= high * percent) & (bits <= most_bits())
+    return (low * 100 >= high * percent) & (_apart(a, b) <= most)
+
+
+def _closest(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """For each node of pairs (node, other) the plausible other whose sketch is closest, as (a, b)."""
+    known = pairs.join(marks.alias("y"), "node").join(marks.withColumnRenamed("node", "other").alias("x"), "other").filter(_plausible("x", "y", percent, most_bits(wanted=percent / 100)))
+    return known.groupBy("node").agg(F.min_by("other", F.struct(_apart("x", "y").alias("bits"), "other")).alias("a")).select("a", F.col("node").alias("b"))
+
+
+def _marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows (id, ...) whose id may be among the wanted ones: their hashes are set in a bitmap of BLOCKS * 32768 bits (8 MB, for
+    any number of ids), which every task gets. It only spares the join below most texts; when full, it spares none."""
+    def place(c):
+        return F.pmod(F.xxhash64(c), F.lit(BLOCKS * 32768)) + 1
+
+    bits = wanted.select(F.call_function("bitmap_bucket_number", place("id")).alias("block"), F.call_function("bitmap_bit_position", place("id")).alias("bit")) \
+        .groupBy("block").agg(F.call_function("bitmap_construct_agg", F.col("bit")).alias("bits"))
+    bit = F.call_function("bitmap_bit_position", place("id"))
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = F.call_function("getbit", byte, (bit % 8).cast("int")) == 1
+    return rows.withColumn("block", F.call_function("bitmap_bucket_number", place("id"))).join(F.broadcast(bits), "block").filter(held).drop("block", "bits")
+
+
+def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of the documents whose id is wanted."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    return _marked(rows, wanted).join(wanted, "id", "left_semi")
+
+
+def sketches(rows: DataFrame) -> DataFrame:
+    """(id, n, sketch): the finer sketches of (id, text)."""
+    def work(texts):
+        sets = shingle_sets(texts.to_pylist())
+        return [pa.array([len(s) for s in sets], pa.int64()), pa.array([odd_sketch(samples(s, FINE_SAMPLES), FINE_SKETCH) for s in sets], pa.list_(pa.int64()))]
+
+    fields = [T.StructField("n", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))]
+    return append_columns(rows, ["text"], fields, lambda: work).drop("text")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -116,9 +164,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_c
     def work(texts):
         return [pa.array([s.view(np.int64) for s in shingle_sets(texts.to_pylist())], pa.list_(pa.int64()))]
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
-    sets = stored(append_columns(rows, ["text"], [T.StructField("set", T.ArrayType(T.LongType()))], lambda: work).drop("text"), "sets")
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    sets = stored(append_columns(_texts(docs, wanted, id_col, text_col), ["text"], [T.StructField("set", T.ArrayType(T.LongType()))], lambda: work).drop("text"), "sets")
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     common = F.size(F.array_intersect("set_a", "set_b"))
     return both.filter(common * 100 >= (F.size("set_a") + F.size("set_b") - common) * percent).select("a", "b").distinct()
@@ -151,19 +198,27 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     heads = buckets.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head <> last").drop("last")
     shared = stored(buckets.join(heads, "key"), "buckets")
     marks = nodes.select("node", "n", "sketch")
-    stars = shared.filter("node <> head").select("head", "node").distinct()
-    near = stars.join(marks.alias("y"), "node").join(marks.withColumnRenamed("node", "head").alias("x"), "head").filter(_plausible("x", "y", percent))
-    first = stored(near.groupBy("node").agg(F.min("head").alias("a")).select("a", F.col("node").alias("b")), "pairs")
-    links = stored(confirm(first, docs, percent, id_col, text_col), "links")
-    label = components(links)
-
-    placed = shared.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
-    mixed = stored(placed.join(main, "key").join(marks, "node"), "mixed")
+    pairs = shared.filter("node <> head").select("node", F.col("head").alias("other")).distinct()
+    links = None
+    for turn in range(TURNS):
+        tried = stored(_closest(pairs, marks, percent), "pairs")
+        new = stored(confirm(tried, docs, percent, id_col, text_col), "links")
+        links = new if links is None else stored(links.unionByName(new), "links")
+        label = components(links)
+        placed = shared.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"), F.max_by("node", F.xxhash64("node", "key", F.lit(turn))).alias("pivot"))
+        main = stored(sizes.groupBy("key").agg(F.max_by(F.struct("component", "pivot"), F.struct("size", "component")).alias("m"), F.count(F.lit(1)).alias("parts"))
+                      .filter("parts > 1").select("key", F.col("m.component").alias("main"), F.col("m.pivot").alias("pivot")), "main")
+        pairs = placed.join(main, "key").filter("component <> main").select("node", F.col("pivot").alias("other")).distinct()
+
+    mixed = stored(placed.join(main, "key"), "mixed")
+    own = stored(mixed.select(F.col("node").alias("id")).distinct(), "mixed")
+    finer = stored(sketches(_texts(docs, own, id_col, text_col)).dropDuplicates(["id"]), "finer")
+    mixed = mixed.join(finer.withColumnRenamed("id", "node"), "node").join(nodes.select("node", "bands").dropDuplicates(["node"]), "node")
     x, y = mixed.filter("component <> main").alias("x"), mixed.alias("y")
     apart = F.col("x.component") != F.col("y.component")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & _plausible("x", "y", percent))
+    once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key")          # in the first of their common buckets
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & _plausible("x", "y", percent, most_bits(FINE_SAMPLES, FINE_SKETCH, percent / 100)) & once)
     rest = stored(across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
     more = confirm(rest, docs, percent, id_col, text_col)
     label = components(links.unionByName(more))
