@@ -14,6 +14,8 @@ rows are encoded alike; extra columns pass through untouched.
 from __future__ import annotations
 
 import base64
+import sys
+import types
 from functools import lru_cache
 
 import ahocorasick
@@ -45,9 +47,9 @@ def merge(piece: bytes, ranks: dict[bytes, int], below: float = float("inf")) ->
 
 
 class Codec:
-    """Encoder and decoder for one rank file; one per task."""
+    """Encoder and decoder for one rank file; one per worker process."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 350_000):
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
@@ -149,6 +151,14 @@ class Codec:
         return self.flat[np.repeat(self.place[ids] - end + size, size) + np.arange(end[-1] if len(end) else 0)]
 
 
+def codec_of(rank_file: str, pattern: str) -> Codec:
+    """The worker process's codec: a later task in the same process goes on with what earlier ones remember."""
+    kept = sys.modules.setdefault("_corpusmill_process", types.ModuleType("_corpusmill_process")).__dict__.setdefault("codecs", {})
+    if (rank_file, pattern) not in kept:
+        kept[rank_file, pattern] = Codec(read_ranks(rank_file), pattern)
+    return kept[rank_file, pattern]
+
+
 def _lists(rows: list[np.ndarray]) -> pa.Array:
     offsets = np.zeros(len(rows) + 1, np.int32)
     np.cumsum([len(r) for r in rows], out=offsets[1:])
@@ -159,7 +169,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
     """The rows and the ids of their whole texts as ``ids_name``; with ``decoded_name`` also the bytes that ``decode`` gives
     for those ids, in the same pass. The file must be at that path on every machine."""
     def start():
-        codec = Codec(read_ranks(rank_file), pattern)
+        codec = codec_of(rank_file, pattern)
 
         def work(texts):
             ids = [codec.ids(t.as_py() or "") for t in texts]
@@ -173,7 +183,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
 def decode(rows: DataFrame, rank_file: str, pattern: str, ids_col: str = "token_ids", name: str = "decoded") -> DataFrame:
     """The rows and the bytes of their ids as ``name``; null ids give no bytes, an id without a token fails."""
     def start():
-        codec = Codec(read_ranks(rank_file), pattern)
+        codec = codec_of(rank_file, pattern)
         return lambda lists: [pa.array([codec.text_bytes(np.array(x.as_py() or (), np.int64)).tobytes() for x in lists], pa.binary())]
 
     return append_columns(rows, [ids_col], [T.StructField(name, T.BinaryType())], start)
