@@ -24,7 +24,6 @@ from pyspark.sql import types as T
 
 from corpusmill.llm.common import append_columns, fresh
 
-_SPACE = re.compile(r"\s+")
 _GRAM = 4
 MATCH = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("distance", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
@@ -36,7 +35,7 @@ def lower(text: str) -> str:
 
 
 def normal(text: str | None) -> str:
-    return _SPACE.sub(" ", lower(text or "")).strip()
+    return " ".join(lower(text or "").split())
 
 
 def myers(pattern: str, text: str) -> tuple[int, int]:
@@ -84,7 +83,7 @@ class Matcher:
         if not text or not self.items:
             return []
         small = lower(text)
-        flat = _SPACE.sub(" ", small)
+        flat = " ".join(small.split())
         begins: dict[int, set[int]] = {}
         for end, (size, places) in self.trie.iter(flat):
             for n, offset in places:
@@ -109,7 +108,8 @@ class Matcher:
                     size = myers(item[::-1], window[:end][::-1])[1]
                     out.append((ident, distance, a + end - size, a + end))
         if out and len(flat) != len(small):
-            place = [m.start() for m in re.finditer(r"\s+|\S", small)] + [len(small)]
+            place = [m.start() for m in re.finditer(r"(?<=\S)\s+(?=\S)|\S", small)]
+            place.append(place[-1] + 1)
             out = [(i, d, place[a], place[b]) for i, d, a, b in out]
         return sorted(out)
 
