@@ -57,22 +57,22 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.select("id", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "n_capitals", "n_ends", "n_calls", "n_bars")
 
 
-def _vote(bad: Column, good: Column) -> Column:
+def _vote(bad: str, good: str) -> Column:
     """-1 bad, 1 good, 0 abstains."""
-    return F.when(bad, -1).when(good, 1).otherwise(0)
+    return F.when(F.expr(bad), -1).when(F.expr(good), 1).otherwise(0)
 
 
 #: Rules by name: what is bad, what is good. Between the two they abstain.
 RULES = {
-    "symbols": (F.expr("n_symbols * 100 > word_chars * 5"), F.expr("n_symbols * 200 <= word_chars")),
-    "capitals": (F.expr("n_capitals * 100 > word_chars * 30"), F.expr("n_capitals * 100 <= word_chars * 10")),
-    "duplicate_lines": (F.expr("n_dup_lines * 100 > n_lines * 30"), F.expr("n_lines > 2 and n_dup_lines = 0")),
-    "repeats": (F.expr("n_repeat_words * 100 > n_words * 30"), F.expr("n_repeat_words * 100 <= n_words * 10")),
-    "word_length": (F.expr("word_chars > n_words * 14 or word_chars < n_words * 2"), F.expr("word_chars between n_words * 3 and n_words * 9")),
-    "sentence_ends": (F.expr("n_ends * 100 > n_words * 50 or n_words > 200 and n_ends * 500 < n_words"), F.expr("n_ends * 100 between n_words and n_words * 25")),
-    "exclamations": (F.expr("n_calls * 100 > n_words * 20"), F.expr("n_calls * 100 <= n_words * 2")),
-    "bars": (F.expr("n_bars * 100 > n_words * 20"), F.expr("n_bars = 0")),
-    "length": (F.expr("n_words < 20"), F.expr("n_words >= 200")),
+    "symbols": ("n_symbols * 100 > word_chars * 5", "n_symbols * 200 <= word_chars"),
+    "capitals": ("n_capitals * 100 > word_chars * 30", "n_capitals * 100 <= word_chars * 10"),
+    "duplicate_lines": ("n_dup_lines * 100 > n_lines * 30", "n_lines > 2 and n_dup_lines = 0"),
+    "repeats": ("n_repeat_words * 100 > n_words * 30", "n_repeat_words * 100 <= n_words * 10"),
+    "word_length": ("word_chars > n_words * 14 or word_chars < n_words * 2", "word_chars between n_words * 3 and n_words * 9"),
+    "sentence_ends": ("n_ends * 100 > n_words * 50 or n_words > 200 and n_ends * 500 < n_words", "n_ends * 100 between n_words and n_words * 25"),
+    "exclamations": ("n_calls * 100 > n_words * 20", "n_calls * 100 <= n_words * 2"),
+    "bars": ("n_bars * 100 > n_words * 20", "n_bars = 0"),
+    "length": ("n_words < 20", "n_words >= 200"),
 }
 
 

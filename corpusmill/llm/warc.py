@@ -56,21 +56,31 @@ def _length(text: Column) -> Column:
     return F.octet_length(text).cast("bigint")
 
 
+def _scan(spark: SparkSession, path: str) -> DataFrame:
+    """The pieces between magic strings: value, file, part (where the split of the file begins) and order inside it."""
+    return spark.read.option("lineSep", MAGIC).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("order"))
+
+
+def _placed(pieces: DataFrame) -> DataFrame:
+    """``order`` counted from the first piece of the split, so that it doesn't depend on how splits are dealt to tasks."""
+    first = pieces.groupBy("file", "part").agg(F.min("order").alias("first"))
+    return pieces.join(first, ["file", "part"]).withColumn("order", F.col("order") - F.col("first")).drop("first")
+
+
 def candidates(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
     """A row for each piece between magic strings: file, at (the byte after the magic string), size, head, block_size as the head
-    says, next (at of the record that it says follows), whole (the block is in this piece), what a whole record
-    holds, and the piece itself where that isn't enough."""
-    raw = spark.read.option("lineSep", MAGIC).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("order"))
+    says, next (at of the record that it says follows), whole (the block is in this piece) and what a whole record holds."""
+    raw = _scan(spark, path)
     cut = raw.withColumn("head", F.substring_index("value", GAP, 1)).withColumn("size", _length(F.col("value")))
     said = cut.withColumn("block_size", F.when(F.col("head").contains("WARC-Type:"), _field("Content-Length").try_cast("bigint")))
     rest = F.substring(F.col("value").cast("binary"), F.octet_length("head") + 1 + len(GAP), F.lit(2**31 - 1))
     whole = said.withColumn("whole", F.coalesce(F.col("size") - _length(F.col("head")) - len(GAP) >= F.col("block_size"), F.lit(False))) \
         .withColumn("payload", F.when(F.col("whole"), _payload(F.substring(rest, F.lit(1), F.col("block_size").cast("int")))))
     narrow = stored(whole.select("file", "part", "order", "size", "head", "block_size", "whole", _length(F.col("payload")).alias("n"), base32(F.sha1("payload")).alias("digest"),
-                                 (F.col("payload") if payloads else F.lit(None).cast("binary")).alias("payload"), F.when(~F.col("whole"), F.col("value")).alias("piece")), "pieces")
+                                 (F.col("payload") if payloads else F.lit(None).cast("binary")).alias("payload")), "pieces")
     before = W.partitionBy("file").orderBy("part", "order").rowsBetween(W.unboundedPreceding, -1)
     at = F.coalesce(F.sum(F.col("size") + len(MAGIC)).over(before), F.lit(0))
-    return narrow.withColumn("at", at).withColumn("next", F.col("at") + _length(F.col("head")) + F.col("block_size") + 2 * len(GAP) + len(MAGIC)).drop("part", "order")
+    return narrow.withColumn("at", at).withColumn("next", F.col("at") + _length(F.col("head")) + F.col("block_size") + 2 * len(GAP) + len(MAGIC))
 
 
 def _payload(block: Column) -> Column:
@@ -105,12 +115,15 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     pieces = found.join(real, ["file", "at"], "left").withColumn("owner", F.last(F.when(F.col("real"), F.col("at")), ignorenulls=True).over(own))
     records = pieces.filter("real")
     split = records.filter("not whole").select("file", F.col("at").alias("owner"), F.col("head").alias("own_head"), F.col("block_size").alias("own_size"))
-    joined = pieces.join(split, ["file", "owner"]).groupBy("file", "owner", "own_head", "own_size").agg(F.sort_array(F.collect_list(F.struct(
-        "at", F.coalesce("piece", F.lit("")).alias("piece")))).alias("p"))
-    block = F.substring(F.array_join(F.transform("p", lambda x: x.piece), MAGIC).cast("binary"), F.octet_length("own_head") + 1 + len(GAP), F.col("own_size").cast("int"))
-    pasted = joined.withColumn("body", _payload(block)).select(F.col("own_head").alias("head"), _length(F.col("body")).alias("n"), base32(F.sha1("body")).alias("digest"),
-                                                              (F.col("body") if payloads else F.lit(None).cast("binary")).alias("payload"))
-    both = records.filter("whole").select("head", "n", "digest", "payload").unionByName(pasted)
+    both = records.filter("whole").select("head", "n", "digest", "payload")
+    if split.limit(1).count():                                             # magic strings inside payloads: those files are read again
+        needed = _placed(found.select("file", "part", "order", "at")).join(pieces.select("file", "at", "owner"), ["file", "at"]).join(split, ["file", "owner"])
+        joined = needed.join(_placed(_scan(spark, path)), ["file", "part", "order"]).groupBy("file", "owner", "own_head", "own_size").agg(
+            F.sort_array(F.collect_list(F.struct("at", "value"))).alias("p"))
+        block = F.substring(F.array_join(F.transform("p", lambda x: x.value), MAGIC).cast("binary"), F.octet_length("own_head") + 1 + len(GAP), F.col("own_size").cast("int"))
+        pasted = joined.withColumn("body", _payload(block)).select(F.col("own_head").alias("head"), _length(F.col("body")).alias("n"), base32(F.sha1("body")).alias("digest"),
+                                                                  (F.col("body") if payloads else F.lit(None).cast("binary")).alias("payload"))
+        both = both.unionByName(pasted)
 
     def ident(name: str) -> Column:
         return F.regexp_extract(_field(name), "<urn:page:(-?[0-9]+)>", 1).try_cast("bigint")
