@@ -39,7 +39,7 @@ def edge_integrity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         c(~ext & ~d, "dangling_dst"), c(ext & F.col("external_ref").isNull(), "external_without_ref"))
 
 
-def resolve_supersession(records: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def resolve_supersession(records: DataFrame, edges: DataFrame) -> DataFrame:
     """Live-successor state per record: (rvid, immediate_live, conflicted, has_live_successor).
 
     records: (rvid, namespace, status); edges: (src, dst) meaning src supersedes dst. A walk goes on through
@@ -61,9 +61,7 @@ def resolve_supersession(records: DataFrame, edges: DataFrame, max_rounds: int =
     through = hop.filter("NOT live").select("src", "dst")
     reach = cut_lineage(direct.select(F.col("dst").alias("rvid"), "lo", "hi"))
     fresh = reach
-    for _ in range(max_rounds):
-        if fresh.isEmpty():
-            break
+    while not fresh.isEmpty():          # ends: smallest records only fall and largest only rise
         pushed = through.join(fresh.withColumnRenamed("rvid", "src"), "src").groupBy(F.col("dst").alias("rvid")).agg(
             F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         old = reach.select("rvid", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
@@ -71,9 +69,6 @@ def resolve_supersession(records: DataFrame, edges: DataFrame, max_rounds: int =
             "rvid", F.least("lo", "_lo").alias("lo"), F.greatest("hi", "_hi").alias("hi"), "_lo", "_hi"
         ).filter("_lo IS NULL OR lo < _lo OR hi > _hi").select("rvid", "lo", "hi"))
         reach = cut_lineage(reach.join(fresh.select("rvid"), "rvid", "left_anti").unionByName(fresh))
-    else:
-        if not fresh.isEmpty():
-            raise ValueError(f"supersession walk did not settle in {max_rounds} rounds")
     return (
         keyed.select("rvid").join(reach, "rvid", "left")
         .join(direct.select(F.col("dst").alias("rvid"), "immediate_live"), "rvid", "left")
@@ -90,16 +85,14 @@ def effective_current(records: DataFrame, resolved: DataFrame) -> DataFrame:
         cur & ~F.coalesce("has_live_successor", F.lit(False))).alias("effective_current"))
 
 
-def cycle_members(edges: DataFrame, peels_per_round: int = 3, max_rounds: int = 1000) -> DataFrame:
+def cycle_members(edges: DataFrame, peels_per_round: int = 3) -> DataFrame:
     """(id) of nodes on, or between, directed cycles: what remains after stripping loose ends until nothing is loose.
 
     Several strips share one checkpoint, so long chains do not cost one write per link.
     """
     live = cut_lineage(edges.select("src", "dst").distinct())
     before = live.count()
-    for _ in range(max_rounds):
-        if before == 0:
-            break
+    while before:                       # ends: each round but the last removes edges
         for _ in range(peels_per_round):
             live = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(
                 live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
@@ -162,8 +155,10 @@ def resolve_refs(refs: DataFrame, files: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("_n"), F.min("source_path").alias("_unique")).filter("_n = 1").select("_base", "_unique")
     folder = F.regexp_replace("src_path", "[^/]*$", "")
     raw = F.concat(folder, F.regexp_replace("target", r"^(\./)+", ""))
-    up = r"[^/]+/\.\./"
-    joined = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, up, ""), up, ""), up, "")
+    none = F.array().cast("array<string>")
+    joined = F.array_join(F.aggregate(F.split(raw, "/"), none, lambda path, part: F.when(
+        (part == "..") & (F.size(path) > 0) & ~F.coalesce(F.try_element_at(path, F.lit(-1)).isin("", ".."), F.lit(True)),
+        F.slice(path, F.lit(1), F.size(path) - 1)).otherwise(F.array_append(path, part))), "/")
     q = refs.withColumn("_rel", joined).withColumn("_base", F.element_at(F.split("target", "/"), -1))
     q = q.join(paths.select(F.col("source_path").alias("_rel"), F.col("source_path").alias("_r1")), "_rel", "left")
     q = q.join(paths.select(F.col("source_path").alias("target"), F.col("source_path").alias("_r2")), "target", "left")

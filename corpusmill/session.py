@@ -24,12 +24,14 @@ def local_session(cpus: str | int = 8, shuffle_partitions: int = 8, app: str = "
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder named by the cluster; a private temp folder only when none is set (tests)."""
+    """Use the shared folder named by the cluster; a private temp folder only in local mode when none is set (tests)."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="corpusmill-ckpt-"))
     return sc.getCheckpointDir()
 
