@@ -58,7 +58,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema))
+    own = spark.range(2).select(F.lit(-1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    rows = rows.unionByName(own.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema]))
     done = chat_trees.conversations(stored(chat_trees.linear(rows), "messages"))
     turns = chat_trees.read_back(F.col("formatted"))
     loss = chat_trees.masked(F.col("formatted"), F.col("loss"))
