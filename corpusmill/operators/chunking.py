@@ -136,20 +136,28 @@ def chunk_paragraphs(docs: DataFrame) -> DataFrame:
 
 
 def headings(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, level, title, n_lines, start byte) for headings outside fences."""
-    parts = F.split("text", "\n")
-    fence = F.transform(parts, lambda s: s.rlike(FENCE))
-    rows = docs.filter(F.col("text").rlike(r"(?m)^#{1,6}\s")).select(
-        "doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.posexplode(F.arrays_zip(
-            parts.alias("line"), fence.alias("fence"))).alias("line_no", "x")
-    ).select("doc_id", "n_bytes", F.col("line_no").cast("bigint").alias("line_no"), F.col("x.line").alias("line"),
-             F.col("x.fence").alias("fence"))
-    w = W.partitionBy("doc_id").orderBy("line_no")
-    rows = rows.withColumn("open", F.sum(F.col("fence").cast("int")).over(w) % 2).withColumn(
-        "start", F.coalesce(F.sum(F.octet_length("line") + 1).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return rows.filter((F.col("open") == 0) & ~F.col("fence") & F.col("line").rlike(HEADING)).select(
-        "doc_id", "line_no", F.length(F.regexp_extract("line", HEADING, 1)).cast("bigint").alias("level"),
-        F.trim(F.regexp_extract("line", HEADING, 2)).alias("title"), "start", "n_bytes")
+    """(doc_id, line_no, level, title, start byte, n_bytes) of the headings outside fences; a fence is closed by its own kind of
+    mark only. One pass over each text, and no line leaves its row."""
+    names = ["doc_id", "line_no", "level", "title", "start", "n_bytes"]
+
+    def scan(doc_id: int, text: str) -> Iterator[tuple]:
+        at, opened, size = 0, None, len(text.encode())
+        for i, line in enumerate(text.split("\n")):
+            if fence := FENCE_RE.match(line):
+                kind = fence[1][0]
+                opened = {None: kind, kind: None}.get(opened, opened)
+            elif opened is None and (m := HEADING_RE.match(line)):
+                yield doc_id, i, len(m[1]), m[2].strip(), at, size
+            at += len(line.encode()) + 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [r for d, text in zip(batch["doc_id"], batch["text"]) for r in scan(d, text)]
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
+
+    some = docs.filter(F.col("text").rlike("(?m)^#"))
+    return some.select("doc_id", "text").mapInPandas(run, "doc_id bigint, line_no bigint, level bigint, title string, start bigint, n_bytes bigint")
 
 
 def outline(docs: DataFrame, sep: str = " > ") -> DataFrame:

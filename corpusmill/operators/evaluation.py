@@ -53,10 +53,17 @@ def recall_mrr(queries: DataFrame, hits: DataFrame, labels: DataFrame, ks: list[
                       "first_relevant_rank", F.when(F.col("first_relevant_rank") > 0, ppm(F.lit(1), F.col("first_relevant_rank"))).otherwise(0).cast("bigint").alias("rr"))
 
 
+def _label_key(labels: DataFrame) -> list[str]:
+    """What tells labels apart: path, version, chunk and spans. Two chunks of one path are two labels."""
+    return [c for c in ("query_id", "source_path", "content_hash", "chunk_id", "spans") if c in labels.columns]
+
+
 def relevance_flags(hits: DataFrame, labels: DataFrame, keys=KEYS) -> DataFrame:
     """Adds ``relevant`` to hits: in rank order each label pays for one hit and each hit takes one label, the first free
     one in label order. Labels may overlap, so this is a fold over the query's depth-bounded list of labelled hits."""
-    pos = labels.filter("role IN ('required', 'evidence')").dropDuplicates(["query_id", "source_path", "content_hash"])
+    key = _label_key(labels)
+    pos = labels.filter("role IN ('required', 'evidence')").groupBy(*key).agg(
+        *[F.min_by(c, "label_id").alias(c) for c in labels.columns if c not in key])
     m = match_labels(hits, pos).groupBy(*keys, "rank").agg(F.array_sort(F.collect_set("label_id")).alias("ids"))
     lists = m.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "ids"))).alias("rows"))
     ltype = dict(labels.dtypes)["label_id"]
@@ -73,7 +80,7 @@ def relevance_flags(hits: DataFrame, labels: DataFrame, keys=KEYS) -> DataFrame:
 
 def precision_ndcg(queries: DataFrame, flagged: DataFrame, labels: DataFrame, ks: list[int], keys=KEYS) -> DataFrame:
     """precision_at_k over min(k, hits) and nDCG_at_k with integer gains; an empty result scores full precision."""
-    pos = labels.filter("role IN ('required', 'evidence')").select("query_id", "source_path", "content_hash").distinct().groupBy("query_id").agg(
+    pos = labels.filter("role IN ('required', 'evidence')").select(*_label_key(labels)).distinct().groupBy("query_id").agg(
         F.count("*").alias("n_labels"))
     rel = F.col("relevant")
     agg = flagged.groupBy(*keys).agg(
@@ -106,7 +113,11 @@ def group_coverage(queries: DataFrame, hits: DataFrame, labels: DataFrame, keys=
 def bad_hits(queries: DataFrame, hits: DataFrame, labels: DataFrame, keys=KEYS) -> DataFrame:
     """Per query: explicit stale, wrong version, stale status, forbidden, privacy and distractor hits, their rates, and
     whether the top hit is one of the bad ones."""
-    flags = match_labels(hits, labels.filter("role IN ('stale', 'forbidden', 'privacy', 'distractor')"), source_only=True).groupBy(*keys, "rank").agg(
+    # a stale label names one version: without a hash it means the hits without one
+    version = F.coalesce("content_hash", F.lit(""))
+    judging = labels.filter("role IN ('stale', 'forbidden', 'privacy', 'distractor')").withColumn(
+        "content_hash", F.when(F.col("role") == "stale", version).otherwise(F.col("content_hash")))
+    flags = match_labels(hits.withColumn("content_hash", version), judging, source_only=True).groupBy(*keys, "rank").agg(
         *[F.bool_or(F.col("role") == r).alias(r) for r in ("stale", "forbidden", "privacy", "distractor")])
     want = labels.filter("role = 'required' AND content_hash IS NOT NULL").groupBy("query_id", "source_path").agg(
         F.min_by("content_hash", "label_id").alias("_want"))
@@ -114,7 +125,7 @@ def bad_hits(queries: DataFrame, hits: DataFrame, labels: DataFrame, keys=KEYS)
     h = hits.join(flags, [*keys, "rank"], "left").join(want, ["query_id", "source_path"], "left")
     for r in ("stale", "forbidden", "privacy", "distractor"):
         h = h.withColumn(r, F.coalesce(F.col(r), no))
-    wrong = ~F.col("stale") & F.coalesce(F.col("content_hash") != F.col("_want"), no)
+    wrong = ~F.col("stale") & F.coalesce((F.col("content_hash") != F.col("_want")) & (F.col("content_hash") != ""), no)
     h = h.withColumn("wrong", wrong).withColumn("st", F.coalesce(F.col("status").isin(*STALE_STATUSES), no))
     judged = F.col("forbidden") | F.col("privacy") | F.col("distractor") | F.col("stale") | F.col("wrong")
     top = F.bool_or((F.col("rank") == 1) & (F.col("forbidden") | F.col("stale") | F.col("wrong") | F.col("privacy")))

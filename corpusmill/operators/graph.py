@@ -149,19 +149,22 @@ def cross_namespace_edges(records: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def resolve_refs(refs: DataFrame, files: DataFrame) -> DataFrame:
-    """(src_path, target) -> resolved path and how: relative join, literal path, unique basename, else external."""
+    """(src_path, target) -> resolved path and how: relative join, literal path, unique basename (in any case), else external.
+
+    Quotes around a target are dropped, backslashes are slashes, empty and ``.`` segments vanish, ``..`` takes the segment
+    before it, and above the root nothing.
+    """
     paths = files.select("source_path").distinct()
-    base = paths.groupBy(F.element_at(F.split("source_path", "/"), -1).alias("_base")).agg(
+    base = paths.groupBy(F.lower(F.element_at(F.split("source_path", "/"), -1)).alias("_base")).agg(
         F.count(F.lit(1)).alias("_n"), F.min("source_path").alias("_unique")).filter("_n = 1").select("_base", "_unique")
-    folder = F.regexp_replace("src_path", "[^/]*$", "")
-    raw = F.concat(folder, F.regexp_replace("target", r"^(\./)+", ""))
-    none = F.array().cast("array<string>")
-    joined = F.array_join(F.aggregate(F.split(raw, "/"), none, lambda path, part: F.when(
-        (part == "..") & (F.size(path) > 0) & ~F.coalesce(F.try_element_at(path, F.lit(-1)).isin("", ".."), F.lit(True)),
-        F.slice(path, F.lit(1), F.size(path) - 1)).otherwise(F.array_append(path, part))), "/")
-    q = refs.withColumn("_rel", joined).withColumn("_base", F.element_at(F.split("target", "/"), -1))
+    plain = F.translate(F.regexp_replace(F.trim("target"), r"""^["']+|["']+$""", ""), "\\", "/")
+    joined = F.concat(F.regexp_replace("src_path", "[^/]*$", ""), plain)
+    folded = F.aggregate(F.split(joined, "/"), F.array().cast("array<string>"), lambda path, part: F.when(part.isin("", "."), path).when(
+        part == "..", F.slice(path, F.lit(1), F.greatest(F.size(path) - 1, F.lit(0)))).otherwise(F.array_append(path, part)))
+    q = refs.withColumn("_rel", F.array_join(folded, "/")).withColumn("_lit", F.regexp_replace(plain, "^[./]+", "")).withColumn(
+        "_base", F.lower(F.element_at(F.split(plain, "/"), -1)))
     q = q.join(paths.select(F.col("source_path").alias("_rel"), F.col("source_path").alias("_r1")), "_rel", "left")
-    q = q.join(paths.select(F.col("source_path").alias("target"), F.col("source_path").alias("_r2")), "target", "left")
+    q = q.join(paths.select(F.col("source_path").alias("_lit"), F.col("source_path").alias("_r2")), "_lit", "left")
     q = q.join(base, "_base", "left")
     return q.select(
         "src_path", "target", F.coalesce("_r1", "_r2", "_unique").alias("resolved"),

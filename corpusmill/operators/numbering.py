@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 from corpusmill.session import cut_lineage
 
 
+def _with_carry(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows with what their slice inherits; a NULL group is a group like any other."""
+    named = carry.select(*[F.col(k).alias("_of_" + k) for k in keys], *[c for c in carry.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col("_of_" + k)) for k in keys]
+    return rows.join(named, same).drop(*["_of_" + k for k in keys])
+
+
 def number_rows(df: DataFrame, group: list[str], order: list[str], name: str = "pos", partitions: int | None = None) -> DataFrame:
     """Adds a 0-based ``name`` per group in ascending ``order``; the order must be total inside a group.
 
@@ -28,7 +35,7 @@ def number_rows(df: DataFrame, group: list[str], order: list[str], name: str = "
     offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     local = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1
     return (
-        split.withColumn("_local", local).join(offsets, keys)
+        _with_carry(split.withColumn("_local", local), offsets, keys)
         .withColumn(name, (F.col("_local") + F.col("_off")).cast("bigint")).drop("_pid", "_local", "_off"))
 
 
@@ -67,7 +74,7 @@ def scan_in_order(df: DataFrame, group: list[str], order: list[str], sums: dict
         out = out.withColumn("_l_" + k, F.lag("_l_" + k).over(lw))
     for k in fills:
         out = out.withColumn("_f_" + k, F.last("_f_" + k, ignorenulls=True).over(lw.rowsBetween(W.unboundedPreceding, 0)))
-    out = out.join(carry, keys)
+    out = _with_carry(out, carry, keys)
     cols = list(df.columns)
     return out.select(*cols, *[(F.col("_s_" + k) + F.col("_cs_" + k)).alias(k) for k in sums],
                       *[F.when(F.col("_first"), F.col("_cl_" + k)).otherwise(F.col("_l_" + k)).alias(k) for k in lags],

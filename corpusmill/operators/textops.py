@@ -62,18 +62,14 @@ def filter_hits(df: DataFrame, path_prefix=(), exclude_path_prefix=(), suffix=()
     return df
 
 
-def apply_scope(df: DataFrame, request: DataFrame | None, grant: DataFrame) -> tuple[DataFrame, DataFrame]:
+def apply_scope(df: DataFrame, request: DataFrame, grant: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows whose namespace is in request AND grant, plus a count of refused rows per query without their ids.
 
-    ``request`` / ``grant``: (query_id, namespace). A query absent from ``request`` asked for nothing in particular
-    and keeps its whole grant; a query without grant rows gets nothing; a NULL namespace never passes.
+    ``request`` / ``grant``: (query_id, namespace). A query that asks for nothing gets nothing, and so does one that is
+    granted nothing; a NULL namespace never passes.
     """
-    allowed = grant.select("query_id", "namespace").distinct()
-    if request is not None:
-        asked = request.select("query_id", "namespace").distinct()
-        explicit = allowed.join(asked, ["query_id", "namespace"], "left_semi")
-        unasked = allowed.join(asked.select("query_id").distinct(), "query_id", "left_anti")
-        allowed = explicit.unionByName(unasked)
+    keys = ["query_id", "namespace"]
+    allowed = grant.select(*keys).distinct().join(request.select(*keys).distinct(), keys, "left_semi")
     flagged = df.join(allowed.withColumn("_ok", F.lit(True)), ["query_id", "namespace"], "left")
     in_scope = flagged.filter(F.col("_ok")).drop("_ok")
     violations = flagged.groupBy("query_id").agg(F.count_if(F.col("_ok").isNull()).cast("bigint").alias("violations"))
@@ -85,7 +81,10 @@ def _lookup(values: dict[str, str], key: Column) -> Column:
 
 
 def classify_queries(tasks: DataFrame) -> DataFrame:
-    """(task_type, query_class?, temporal_intent?, version?, text) -> query class and temporal intent with their basis."""
+    """(task_type, query_class?, temporal_intent?, version?, text) -> query class and temporal intent with their basis.
+
+    A temporal intent that is named but unknown allows every version.
+    """
     explicit = F.lower(F.trim(F.col("query_class")))
     mapped = _lookup(TASK_CLASS, F.lower(F.trim(F.coalesce(F.col("task_type"), F.lit("default")))))
     has_literals = F.size(derive_literals(F.col("text"))) > 0
@@ -96,9 +95,11 @@ def classify_queries(tasks: DataFrame) -> DataFrame:
         .withColumn("class_basis", F.when(known, "explicit").when(mapped.isNotNull(), "task_type")
                     .when(has_literals, "literal_signal").otherwise("unclassified_fallback"))
     )
-    named = F.col("temporal_intent").isin(*INTENTS)
+    asked = F.lower(F.trim(F.col("temporal_intent")))
+    named = F.coalesce(F.col("temporal_intent"), F.lit("")) != ""
     return (
-        out.withColumn("intent_out", F.when(named, F.col("temporal_intent"))
+        out.withColumn("intent_out", F.when(named & (asked == "current"), "current_only").when(named & asked.isin(*INTENTS), asked)
+                       .when(named, "any_valid_version")
                        .when(F.col("version").isNotNull(), "version_specific")
                        .otherwise(_lookup(CLASS_INTENT, F.col("class_out"))))
         .withColumn("intent_basis", F.when(named, "explicit_temporal_intent")
@@ -139,14 +140,36 @@ def extract_refs(docs: DataFrame, key: str, body: Column, cue: str, ref: str, ex
         key, F.concat(F.lit(prefix), "_id").alias("ref_id")).distinct()
 
 
+# What surrounds a label in an answer.
+LABEL_FENCE = r"^```[a-zA-Z]*|```$"
+LABEL_PREFIX = r"^(?i:label|category|answer|class|result)\s*[:\-]\s*"
+LABEL_EDGES = r"""^[ \t"'“”‘’.,;:!?()\[\]{}*_\-]+|[ \t"'“”‘’.,;:!?()\[\]{}*_\-]+$"""
+
+
+def bare_label(c: Column) -> Column:
+    """An answer without fence, prefix, quotes and punctuation around it, in lower case."""
+    inner = F.trim(F.regexp_replace(collapse_ws(c), LABEL_FENCE, ""))
+    return F.trim(F.lower(F.regexp_replace(F.trim(F.regexp_replace(inner, LABEL_PREFIX, "")), LABEL_EDGES, "")))
+
+
+def first_object(c: Column) -> Column:
+    """The first stretch of a text from an opening brace to the brace that closes it, or NULL. Pieces between closing braces
+    are counted through, so the fold has as many steps as there are closing braces."""
+    pieces = F.split(F.regexp_extract(c, r"(?s)\{.*", 0), "\\}")
+    opened = lambda piece: F.length(piece) - F.length(F.translate(piece, "{", ""))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("closed_at"))
+    state = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), start, lambda s, piece: F.when(s["closed_at"] > 0, s).otherwise(F.struct(
+        (s["at"] + 1).alias("at"), (s["depth"] + opened(piece) - 1).alias("depth"),
+        F.when(s["depth"] + opened(piece) == 1, s["at"] + 1).otherwise(0).alias("closed_at"))))
+    return F.when(state["closed_at"] > 0, F.concat(F.array_join(F.slice(pieces, F.lit(1), state["closed_at"]), "}"), F.lit("}")))
+
+
 def normalise_labels(answers: DataFrame, label_set: list[str], mode: str, truncated: str = "truncated") -> DataFrame:
     """Adds label/labels, parsed, in_set, confidence_pct (integer hundredths) and flag_reason for one answer column.
 
     ``classify`` picks one label (exact, then longest label inside the first line); ``multilabel`` splits on , ; newline.
     """
-    def norm(c: Column) -> Column:
-        return F.lower(F.regexp_replace(collapse_ws(c), r"^[\"'`*.\s]+|[\"'`*.\s]+$", ""))
-
+    norm = bare_label
     labels = sorted(label_set, key=lambda s: (-len(s), s))
     arr = F.array(*[F.lit(s) for s in labels])
     blank = F.col("answer").isNull() | (collapse_ws(F.col("answer")) == "")
@@ -158,7 +181,7 @@ def normalise_labels(answers: DataFrame, label_set: list[str], mode: str, trunca
         line = F.when(F.array_contains(arr, first_line), first_line)
         inside = F.try_element_at(
             F.filter(arr, lambda a: F.call_function(
-                "rlike", first_line, F.concat(F.lit(r"\b"), a, F.lit(r"\b")))), F.lit(1))
+                "rlike", first_line, F.concat(F.lit(r"(?<!\w)\Q"), a, F.lit(r"\E(?!\w)")))), F.lit(1))
         fuzzy = F.coalesce(line, inside)
         return (
             answers.withColumn("label", F.when(~blank, F.coalesce(exact, fuzzy)))
@@ -191,7 +214,7 @@ def normalise_extraction(answers: DataFrame, fields: list[str], truncated: str =
     from pyspark.sql import types as T
 
     schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
-    obj = F.regexp_extract("answer", r"(?s)(\{.*\})", 1)
+    obj = F.coalesce(first_object(F.col("answer")), F.lit(""))
     blank = F.col("answer").isNull() | (collapse_ws(F.col("answer")) == "")
     df = answers.withColumn("_o", F.when(F.call_function("json_array_length", F.concat(F.lit("["), obj, F.lit("]"))) == 1,
                                          F.from_json(obj, schema)))

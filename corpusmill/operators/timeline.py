@@ -204,44 +204,52 @@ def track_greedy(dets: DataFrame, iou_threshold: float = 0.3, max_age: int = 2)
                                  f"media {key['media']}, frame {key['frame']}, det {key['det']}, track bigint")
 
 
+def _seat(row: int, pays: list[dict], held: dict, closed: set) -> tuple[int, tuple]:
+    """The cheapest chain of moves that gives ``row`` a column: it may take a held one, whose row then moves on. Returns what
+    the chain adds to the total, and the moves. ``closed`` columns are out of reach."""
+    reached, waiting, best = {row: (0, ())}, [row], None
+    while waiting:
+        r = waiting.pop(0)
+        spent, moves = reached[r]
+        for column, price in pays[r].items():
+            if column in closed:
+                continue
+            total, chain, other = spent + price, (*moves, (r, column)), held.get(column)
+            if other is None:
+                best = min(best or (total, chain), (total, chain), key=lambda x: x[0])
+            elif other not in reached or total - pays[other][column] < reached[other][0]:
+                reached[other] = (total - pays[other][column], chain)
+                waiting.append(other)
+    return best
+
+
 def _assign(cost: list[list[int | None]]) -> list[tuple[int, int]]:
-    """Most pairs first, then least total cost, then the lexicographically smallest columns by row (augmenting paths over
-    exact integers). None marks a forbidden pair."""
-    rows, cols = len(cost), len(cost[0])
-    width = cols + rows                                   # one private "stay alone" column per row
-    unit = (cols + 2) ** rows                             # room for the tie-breaking digits
-    alone = unit * (1 + 2 * sum(max((c for c in r if c is not None), default=0) + 1 for r in cost))
-    big = alone * (rows + 1) * 4
-
-    def price(i: int, j: int) -> int:
-        digit = (cols + 2) ** (rows - 1 - i)
-        if j < cols:
-            return big if cost[i][j] is None else cost[i][j] * unit + (j + 1) * digit
-        return alone + (cols + 1) * digit if j == cols + i else big
-
-    u, v, match = [0] * (rows + 1), [0] * (width + 1), [0] * (width + 1)
-    for i in range(1, rows + 1):
-        match[0], j0 = i, 0
-        slack, prev, used = [big * 8] * (width + 1), [0] * (width + 1), [False] * (width + 1)
-        while match[j0]:
-            used[j0] = True
-            free = [j for j in range(1, width + 1) if not used[j]]
-            for j in free:
-                gap = price(match[j0] - 1, j - 1) - u[match[j0]] - v[j]
-                if gap < slack[j]:
-                    slack[j], prev[j] = gap, j0
-            j1 = min(free, key=lambda j: slack[j])
-            step = slack[j1]
-            for j in range(width + 1):
-                if used[j]:
-                    u[match[j]] += step
-                    v[j] -= step
-                else:
-                    slack[j] -= step
-            j0 = j1
-        while j0:
-            match[j0], j0 = match[prev[j0]], prev[j0]
-    return sorted((match[j] - 1, j - 1) for j in range(1, cols + 1) if match[j] and cost[match[j] - 1][j - 1] is not None)
+    """Most pairs first, then least total cost, then the lexicographically smallest columns by row. None marks a forbidden pair.
+
+    Every row has a column of its own, dear enough to be the last resort, so all rows are seated, one after another. Then each
+    row in turn takes the smallest column that leaves the total as it is, and keeps it.
+    """
+    alone = 1 + sum(max((c for c in r if c is not None), default=0) for r in cost)
+    width = max(map(len, cost), default=0)
+    pays = [{j: c for j, c in enumerate(r) if c is not None} | {width + i: alone} for i, r in enumerate(cost)]
+    held: dict[int, int] = {}
+    for row in range(len(pays)):
+        held |= {column: r for r, column in _seat(row, pays, held, set())[1]}
+    closed: set[int] = set()
+    for row, mine in enumerate(pays):
+        now = next(column for column, r in held.items() if r == row)
+        rest = {column: r for column, r in held.items() if column != now}
+        for column in sorted(c for c in mine if c not in closed):
+            if column == now:
+                break
+            other = rest.get(column)
+            added, moves = _seat(other, pays, rest, closed | {column}) if other is not None else (0, ())
+            if mine[column] + added == mine[now] + (pays[other][column] if other is not None else 0):
+                held = {c: r for c, r in rest.items() if r not in dict(moves)} | {c: r for r, c in moves} | {column: row}
+                now = column
+                break
+        closed.add(now)
+    return sorted((r, c) for c, r in held.items() if c < width)
 
 
 def track_stable(dets: DataFrame, iou_threshold_q: int = 300_000, max_gap_ms: int = 2000, max_missed: int = 3,

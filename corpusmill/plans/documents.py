@@ -58,13 +58,12 @@ def _predicates(t):
         "rvid", "source_path", "record_kind")
 
 
-# Each language asks as one reader: granted the namespaces it has failures in, asking for those with decisions as well.
+# Each language asks as one reader, granted some namespaces and asking for some; English asks for nothing and gets nothing.
 @query("scope_filter", S.with_ctes("records", """
 WITH hits AS (SELECT lang AS query_id, CASE WHEN n_chars % 11 = 0 THEN NULL ELSE namespace END AS namespace, rvid FROM records),
 grants AS (SELECT DISTINCT lang AS query_id, namespace FROM records WHERE authority_level = 'authoritative'),
 asked AS (SELECT DISTINCT lang AS query_id, namespace FROM records WHERE authority_level = 'derived' AND lang <> 'en'),
-allowed AS (SELECT g.* FROM grants g WHERE EXISTS (SELECT 1 FROM asked a WHERE a.query_id = g.query_id AND a.namespace = g.namespace)
-   OR NOT EXISTS (SELECT 1 FROM asked a WHERE a.query_id = g.query_id))
+allowed AS (SELECT g.* FROM grants g WHERE EXISTS (SELECT 1 FROM asked a WHERE a.query_id = g.query_id AND a.namespace = g.namespace))
 SELECT h.query_id, count(a.namespace) AS in_scope, count(*) - count(a.namespace) AS violations
 FROM hits h LEFT JOIN allowed a ON h.query_id = a.query_id AND h.namespace = a.namespace GROUP BY 1"""))
 def _scope(t):
@@ -153,7 +152,7 @@ def _terms(t):
 
 _TASKS = """SELECT event_id, event_type, CASE event_type WHEN 'view' THEN 'lookup' WHEN 'click' THEN 'debug' WHEN 'purchase' THEN 'audit'
    WHEN 'signup' THEN NULL ELSE 'other' END AS task_type,
-  CASE WHEN value > 60 THEN ' Composite' END AS query_class, CASE WHEN value < 3 THEN 'historical_as_of' END AS temporal_intent,
+  CASE WHEN value > 60 THEN ' Composite' END AS query_class, CASE WHEN value < 3 THEN 'historical_as_of' WHEN value < 5 THEN ' Current' WHEN value < 7 THEN 'next year' WHEN value < 9 THEN '' END AS temporal_intent,
   CASE WHEN user_id % 5 = 0 THEN 'v1' END AS version, CASE WHEN value > 20 THEN 'see D-0042' ELSE 'see it' END AS text FROM events"""
 
 
@@ -163,17 +162,18 @@ WITH tasks AS ({_TASKS}), c AS (SELECT *, CASE WHEN query_class IS NOT NULL THEN
    WHEN task_type IS NULL THEN 'local_factual' WHEN text = 'see D-0042' THEN 'exact_reference' ELSE 'unclassified' END AS class_out,
   CASE WHEN query_class IS NOT NULL THEN 'explicit' WHEN coalesce(task_type, 'default') <> 'other' THEN 'task_type'
    WHEN text = 'see D-0042' THEN 'literal_signal' ELSE 'unclassified_fallback' END AS class_basis FROM tasks)
-SELECT class_out, class_basis, CASE WHEN temporal_intent IS NOT NULL THEN temporal_intent WHEN version IS NOT NULL THEN 'version_specific'
+SELECT class_out, class_basis, CASE WHEN temporal_intent = ' Current' THEN 'current_only' WHEN temporal_intent = 'next year' THEN 'any_valid_version'
+   WHEN temporal_intent <> '' THEN temporal_intent WHEN version IS NOT NULL THEN 'version_specific'
    WHEN class_out = 'exact_reference' THEN 'version_specific' WHEN class_out = 'historical_reconstruction' THEN 'historical_as_of'
    ELSE 'any_valid_version' END AS intent_out,
-  CASE WHEN temporal_intent IS NOT NULL THEN 'explicit_temporal_intent' WHEN version IS NOT NULL THEN 'explicit_version'
+  CASE WHEN temporal_intent <> '' THEN 'explicit_temporal_intent' WHEN version IS NOT NULL THEN 'explicit_version'
    ELSE 'class_default:' || class_out END AS intent_basis, count(*) AS n FROM c GROUP BY ALL""")
 def _classes(t):
     e, v = F.col("event_type"), F.col("value")
     tasks = t.events.select(
         F.when(e == "view", "lookup").when(e == "click", "debug").when(e == "purchase", "audit").when(e == "signup", None)
         .otherwise("other").alias("task_type"),
-        F.when(v > 60, " Composite").alias("query_class"), F.when(v < 3, "historical_as_of").alias("temporal_intent"),
+        F.when(v > 60, " Composite").alias("query_class"), F.when(v < 3, "historical_as_of").when(v < 5, " Current").when(v < 7, "next year").when(v < 9, "").alias("temporal_intent"),
         F.when(F.col("user_id") % 5 == 0, "v1").alias("version"),
         F.when(v > 20, "see D-0042").otherwise("see it").alias("text"))
     return P.classify_queries(tasks).groupBy("class_out", "class_basis", "intent_out", "intent_basis").agg(
@@ -244,13 +244,21 @@ def _refs(t):
     return note_refs(t)
 
 
+def _bare(c: str) -> str:
+    """SQL twin of the bare label: fence, prefix, then what surrounds it."""
+    flat = f"regexp_replace(trim(regexp_replace({c}, '\\s+', ' ', 'g')), '^```[a-zA-Z]*|```$', '', 'g')"
+    named = f"trim(regexp_replace(trim({flat}), '^(?i:label|category|answer|class|result)\\s*[:\\-]\\s*', ''))"
+    edges = "[ \\t\"''“”‘’.,;:!?()\\[\\]{}*_\\-]+"
+    return f"trim(lower(regexp_replace({named}, '^{edges}|{edges}$', '', 'g')))"
+
+
 @query("label_normalisation", """
 WITH a AS (SELECT conv_id, turn, CASE WHEN role = 'system' THEN '  ' WHEN turn % 4 = 0 THEN ' "' || upper(role) || '". '
-    WHEN turn % 4 = 1 THEN 'The ' || role || ' power user said' || chr(10) || text WHEN turn % 4 = 2 THEN text ELSE role END AS answer,
+    WHEN turn % 4 = 1 THEN 'The ' || role || ' power user said' || chr(10) || text WHEN turn % 4 = 2 THEN text
+    WHEN length(text) % 2 = 0 THEN 'Label: (' || role || ')!' ELSE '```txt ' || role || chr(10) || '```' END AS answer,
     length(text) > 300 AS truncated FROM conversations),
 n AS (SELECT *, trim(regexp_replace(answer, '\\s+', ' ', 'g')) = '' AS blank,
-  lower(regexp_replace(trim(regexp_replace(answer, '\\s+', ' ', 'g')), '^["''`*.\\s]+|["''`*.\\s]+$', '', 'g')) AS whole,
-  lower(regexp_replace(trim(regexp_replace(string_split(answer, chr(10))[1], '\\s+', ' ', 'g')), '^["''`*.\\s]+|["''`*.\\s]+$', '', 'g')) AS line1 FROM a),
+  """ + _bare("answer") + """ AS whole, """ + _bare("string_split(answer, chr(10))[1]") + """ AS line1 FROM a),
 l AS (SELECT *, CASE WHEN blank THEN NULL WHEN whole IN ('power user', 'assistant', 'user') THEN whole WHEN line1 IN ('power user', 'assistant', 'user') THEN line1
    WHEN regexp_matches(line1, '\\bpower user\\b') THEN 'power user' WHEN regexp_matches(line1, '\\bassistant\\b') THEN 'assistant'
    WHEN regexp_matches(line1, '\\buser\\b') THEN 'user' END AS label FROM n)
@@ -263,7 +271,8 @@ def _labels(t):
     answers = t.conversations.select(
         "conv_id", "turn", F.when(role == "system", "  ").when(turn % 4 == 0, F.concat(F.lit(' "'), F.upper(role), F.lit('". ')))
         .when(turn % 4 == 1, F.concat(F.lit("The "), role, F.lit(" power user said\n"), F.col("text")))
-        .when(turn % 4 == 2, F.col("text")).otherwise(role).alias("answer"), (F.length("text") > 300).alias("truncated"))
+        .when(turn % 4 == 2, F.col("text")).when(F.length("text") % 2 == 0, F.concat(F.lit("Label: ("), role, F.lit(")!")))
+        .otherwise(F.concat(F.lit("```txt "), role, F.lit("\n```"))).alias("answer"), (F.length("text") > 300).alias("truncated"))
     return P.normalise_labels(answers, ["assistant", "user", "power user"], "classify").select(
         "conv_id", "turn", "label", "parsed", "in_set", "confidence_pct", "flag_reason")
 
@@ -291,7 +300,7 @@ def _multilabels(t):
 
 
 @query("extraction_normalisation", """
-WITH a AS (SELECT event_id, event_type, CASE event_type WHEN 'error' THEN 'no json' WHEN 'click' THEN '{"k": ' WHEN 'view' THEN '' ELSE 'ok ' || props END AS answer,
+WITH a AS (SELECT event_id, event_type, CASE event_type WHEN 'error' THEN 'no json' WHEN 'click' THEN '{"k": ' WHEN 'view' THEN '' ELSE 'ok ' || props || ' or {"k": "z"}' END AS answer,
    value > 40 AS truncated, json_extract_string(props, '$.k') AS k, props FROM events)
 SELECT event_type, CASE WHEN event_type IN ('purchase', 'signup') THEN k END AS k, event_type IN ('purchase', 'signup') AS parsed,
   (CASE WHEN truncated THEN least(40, c) ELSE c END)::BIGINT AS confidence_pct,
@@ -301,7 +310,7 @@ def _extraction(t):
     e = F.col("event_type")
     answers = t.events.select(
         "event_type", F.when(e == "error", "no json").when(e == "click", '{"k": ').when(e == "view", "")
-        .otherwise(F.concat(F.lit("ok "), "props")).alias("answer"), (F.col("value") > 40).alias("truncated"))
+        .otherwise(F.concat(F.lit("ok "), "props", F.lit(' or {"k": "z"}'))).alias("answer"), (F.col("value") > 40).alias("truncated"))
     return P.normalise_extraction(answers, ["k", "missing"]).groupBy(
         "event_type", "k", "parsed", "confidence_pct", "flag_reason").agg(F.count(F.lit(1)).alias("n"))
 
