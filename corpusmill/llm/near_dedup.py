@@ -1,6 +1,7 @@
 """MinHash near-duplicates with odd sketches.
 
-A document's set is its distinct shingles of four words, lower-cased in A-Z; with fewer words, the whole sequence is one. Each
+A document's set is its distinct shingles of ``words`` words (five by default), lower-cased in A-Z; with fewer words, the whole
+sequence is one. Each
 document gets 240 MinHash samples, 40 band keys of six samples each (a pair of similarity 0.8 meets in no band once in two
 hundred thousand), and an odd sketch: the samples folded into a bitmap of 2048 parities. The exclusive or of two sketches
 counts, by its population, the samples in which they differ.
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 
 from corpusmill.llm.common import Words, append_columns, scramble, stored
 
-WORDS, SAMPLES, ROWS, SKETCH, BLOCKS = 4, 240, 6, 2048, 2048
+WORDS, SAMPLES, ROWS, SKETCH, BLOCKS = 5, 240, 6, 2048, 2048
 #: Rounds of pairing with one member of a bucket before all that is still apart is compared.
 TURNS = 2
 #: The finer sketch of classes that first rounds leave apart: samples and bits.
@@ -42,18 +43,18 @@ _TIMES = _RANDOM.integers(0, 2**31, FINE_SAMPLES, np.uint32) * np.uint32(2) + np
 _PLUS = _RANDOM.integers(0, 2**32, FINE_SAMPLES, np.uint32)
 
 
-def shingle_sets(texts: list) -> list[np.ndarray]:
+def shingle_sets(texts: list, words: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's shingles."""
     w = Words(texts, _WORD, _LOWER)
     h = w.hash(w.start, w.end)
     n = len(h)
     whole = np.zeros(n, np.uint64)
-    for i in range(WORDS):
-        whole[:n - i] = scramble(whole[:n - i] + h[i:])              # right where all four are of one text
+    for i in range(words):
+        whole[:n - i] = scramble(whole[:n - i] + h[i:])              # right where all of them are of one text
     out, at = [], 0
     for count in w.count:
-        if count >= WORDS:
-            out.append(np.unique(whole[at:at + count - WORDS + 1]))
+        if count >= words:
+            out.append(np.unique(whole[at:at + count - words + 1]))
         elif count:
             one = np.full(1, count, np.uint64)
             for i in range(count):
@@ -97,10 +98,10 @@ def most_bits(count: int = SAMPLES, bits: int = SKETCH, wanted: float = 0.8, dev
     return int(spread + deviations / 2 * (differ * 2 * differ * 2 / bits) ** 0.5)
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """(id, n, print, bands, sketch): size of the set, fingerprint of the set, band keys and odd sketch."""
     def work(texts):
-        sets = shingle_sets(texts.to_pylist())
+        sets = shingle_sets(texts.to_pylist(), words)
         lows = [samples(s) if len(s) else None for s in sets]
         longs = pa.list_(pa.int64())
         return [pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
@@ -149,20 +150,20 @@ def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Da
     return _marked(rows, wanted).join(wanted, "id", "left_semi")
 
 
-def sketches(rows: DataFrame) -> DataFrame:
+def sketches(rows: DataFrame, words: int) -> DataFrame:
     """(id, n, sketch): the finer sketches of (id, text)."""
     def work(texts):
-        sets = shingle_sets(texts.to_pylist())
+        sets = shingle_sets(texts.to_pylist(), words)
         return [pa.array([len(s) for s in sets], pa.int64()), pa.array([odd_sketch(samples(s, FINE_SAMPLES), FINE_SKETCH) for s in sets], pa.list_(pa.int64()))]
 
     fields = [T.StructField("n", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))]
     return append_columns(rows, ["text"], fields, lambda: work).drop("text")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str, words: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     def work(texts):
-        return [pa.array([s.view(np.int64) for s in shingle_sets(texts.to_pylist())], pa.list_(pa.int64()))]
+        return [pa.array([s.view(np.int64) for s in shingle_sets(texts.to_pylist(), words)], pa.list_(pa.int64()))]
 
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
     sets = stored(append_columns(_texts(docs, wanted, id_col, text_col), ["text"], [T.StructField("set", T.ArrayType(T.LongType()))], lambda: work).drop("text"), "sets")
@@ -187,9 +188,9 @@ def components(links: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row: the smallest id that links reach, and whether it is the row's own."""
-    sig = stored(signatures(docs, id_col, text_col), "signatures")
+    sig = stored(signatures(docs, id_col, text_col, words), "signatures")
     linked = sig.filter("n > 0 and id is not null")
     classes = stored(linked.groupBy("print").agg(F.min("id").alias("node")), "classes")
     nodes = linked.join(classes, (linked["print"] == classes["print"]) & (linked.id == classes.node)).select("node", "n", "sketch", "bands")
@@ -202,7 +203,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     links = None
     for turn in range(TURNS):
         tried = stored(_closest(pairs, marks, percent), "pairs")
-        new = stored(confirm(tried, docs, percent, id_col, text_col), "links")
+        new = stored(confirm(tried, docs, percent, id_col, text_col, words), "links")
         links = new if links is None else stored(links.unionByName(new), "links")
         label = components(links)
         placed = shared.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
@@ -213,14 +214,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
 
     mixed = stored(placed.join(main, "key"), "mixed")
     own = stored(mixed.select(F.col("node").alias("id")).distinct(), "mixed")
-    finer = stored(sketches(_texts(docs, own, id_col, text_col)).dropDuplicates(["id"]), "finer")
+    finer = stored(sketches(_texts(docs, own, id_col, text_col), words).dropDuplicates(["id"]), "finer")
     mixed = mixed.join(finer.withColumnRenamed("id", "node"), "node").join(nodes.select("node", "bands").dropDuplicates(["node"]), "node")
     x, y = mixed.filter("component <> main").alias("x"), mixed.alias("y")
     apart = F.col("x.component") != F.col("y.component")
     once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key")          # in the first of their common buckets
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & _plausible("x", "y", percent, most_bits(FINE_SAMPLES, FINE_SKETCH, percent / 100)) & once)
     rest = stored(across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
-    more = confirm(rest, docs, percent, id_col, text_col)
+    more = confirm(rest, docs, percent, id_col, text_col, words)
     label = components(links.unionByName(more))
 
     of_class = classes.join(label, "node", "left").select("print", F.coalesce("component", "node").alias("c"))

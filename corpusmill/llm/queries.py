@@ -75,7 +75,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=4).withColumnRenamed("id", "doc_id")
 
 
 def op9_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:

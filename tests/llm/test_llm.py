@@ -31,14 +31,14 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def shingles(text):
+def shingles(text, size=5):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return {tuple(w[i:i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()
+    return {tuple(w[i:i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
 
 
-def groups(texts):
+def groups(texts, size=5):
     """Component of each id by comparing all pairs."""
-    s = {i: shingles(t) for i, t in texts.items()}
+    s = {i: shingles(t, size) for i, t in texts.items()}
     of = {i: i for i in s}
     for i in s:
         for j in s:
@@ -85,7 +85,8 @@ def test_line_dedup_rules(spark, odd, empty):
     assert same.columns == odd.columns and same.count() == len(ODD) and line_dedup.drop_boilerplate(empty).count() == 0
 
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("size", [4, 5])
+def test_near_duplicates_equal_brute_force(spark, size):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(300)]
     texts = {}
@@ -99,10 +100,10 @@ def test_near_duplicates_equal_brute_force(spark):
     for t in (None, "", " ", "one", "ONE", "one two", "a b c d", "a b c d"):
         texts[len(texts)] = t
     df = spark.createDataFrame([(i, t, "s") for i, t in texts.items()] + [(None, "a b c d", "s")], SCHEMA)
-    got = near_dedup.near_duplicates(df).collect()
-    want = groups(texts)
+    got = near_dedup.near_duplicates(df, words=size).collect()
+    want = groups(texts, size)
     assert {r.id: r.component_id for r in got if r.id is not None} == want
-    assert all(r.n_shingles == len(shingles(texts[r.id])) and r.kept == (want[r.id] == r.id) for r in got if r.id is not None)
+    assert all(r.n_shingles == len(shingles(texts[r.id], size)) and r.kept == (want[r.id] == r.id) for r in got if r.id is not None)
     assert [(r.component_id, r.kept) for r in got if r.id is None] == [(None, True)]
 
 
