@@ -16,7 +16,8 @@ counts, by its population, the samples in which they differ.
 4. Components again, over all links.
 
 Null and empty texts have no shingles and are linked with nothing; a row without id is its own component (null). Rows that
-repeat an id are one document. Hot keys (copies, buckets) meet their partner in joins with one row on the other side,
+repeat an id are one document. Texts move once: the full sets of all classes that share a bucket are written, and confirming
+and finer sketches read them; a bitmap of the ids wanted thins them before each join. Hot keys (copies, buckets) meet their partner in joins with one row on the other side,
 which adaptive execution splits, or in partial aggregates. Shingles are told apart by 64-bit hashes.
 """
 
@@ -150,24 +151,30 @@ def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Da
     return _marked(rows, wanted).join(wanted, "id", "left_semi")
 
 
-def sketches(rows: DataFrame, words: int) -> DataFrame:
-    """(id, n, sketch): the finer sketches of (id, text)."""
+def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, set): the sorted shingle hashes of the documents whose id is wanted."""
     def work(texts):
-        sets = shingle_sets(texts.to_pylist(), words)
-        return [pa.array([len(s) for s in sets], pa.int64()), pa.array([odd_sketch(samples(s, FINE_SAMPLES), FINE_SKETCH) for s in sets], pa.list_(pa.int64()))]
+        return [pa.array([s.view(np.int64) for s in shingle_sets(texts.to_pylist(), words)], pa.list_(pa.int64()))]
+
+    return append_columns(_texts(docs, wanted, id_col, text_col), ["text"], [T.StructField("set", T.ArrayType(T.LongType()))], lambda: work).drop("text")
+
+
+def sketches(sets: DataFrame) -> DataFrame:
+    """(id, n, sketch): the finer sketches of (id, set)."""
+    def work(lists):
+        rows = [x.values.to_numpy().view(np.uint64) for x in lists]
+        return [pa.array([len(s) for s in rows], pa.int64()), pa.array([odd_sketch(samples(s, FINE_SAMPLES), FINE_SKETCH) for s in rows], pa.list_(pa.int64()))]
 
     fields = [T.StructField("n", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))]
-    return append_columns(rows, ["text"], fields, lambda: work).drop("text")
+    return append_columns(sets, ["set"], fields, lambda: work).drop("set")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str, words: int) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    def work(texts):
-        return [pa.array([s.view(np.int64) for s in shingle_sets(texts.to_pylist(), words)], pa.list_(pa.int64()))]
+    def side(name):
+        return _marked(sets, pairs.select(F.col(name).alias("id"))).select(F.col("id").alias(name), F.col("set").alias(f"set_{name}"))
 
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-    sets = stored(append_columns(_texts(docs, wanted, id_col, text_col), ["text"], [T.StructField("set", T.ArrayType(T.LongType()))], lambda: work).drop("text"), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
     common = F.size(F.array_intersect("set_a", "set_b"))
     return both.filter(common * 100 >= (F.size("set_a") + F.size("set_b") - common) * percent).select("a", "b").distinct()
 
@@ -199,11 +206,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     heads = buckets.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head <> last").drop("last")
     shared = stored(buckets.join(heads, "key"), "buckets")
     marks = nodes.select("node", "n", "sketch")
+    members = stored(shared.select(F.col("node").alias("id")).distinct(), "members")
+    sets = stored(full_sets(docs, members, id_col, text_col, words), "sets")
     pairs = shared.filter("node <> head").select("node", F.col("head").alias("other")).distinct()
     links = None
     for turn in range(TURNS):
         tried = stored(_closest(pairs, marks, percent), "pairs")
-        new = stored(confirm(tried, docs, percent, id_col, text_col, words), "links")
+        new = stored(confirm(tried, sets, percent), "links")
         links = new if links is None else stored(links.unionByName(new), "links")
         label = components(links)
         placed = shared.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
@@ -214,14 +223,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
 
     mixed = stored(placed.join(main, "key"), "mixed")
     own = stored(mixed.select(F.col("node").alias("id")).distinct(), "mixed")
-    finer = stored(sketches(_texts(docs, own, id_col, text_col), words).dropDuplicates(["id"]), "finer")
+    finer = stored(sketches(_marked(sets, own).join(own, "id", "left_semi")).dropDuplicates(["id"]), "finer")
     mixed = mixed.join(finer.withColumnRenamed("id", "node"), "node").join(nodes.select("node", "bands").dropDuplicates(["node"]), "node")
     x, y = mixed.filter("component <> main").alias("x"), mixed.alias("y")
     apart = F.col("x.component") != F.col("y.component")
     once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key")          # in the first of their common buckets
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & _plausible("x", "y", percent, most_bits(FINE_SAMPLES, FINE_SKETCH, percent / 100)) & once)
     rest = stored(across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
-    more = confirm(rest, docs, percent, id_col, text_col, words)
+    more = confirm(rest, sets, percent)
     label = components(links.unionByName(more))
 
     of_class = classes.join(label, "node", "left").select("print", F.coalesce("component", "node").alias("c"))
