@@ -105,11 +105,20 @@ def index_postings(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.select("event_id", F.explode(entries).alias("x")).select("x.index", "x.value", "event_id").filter("value IS NOT NULL")
 
 
-def iou_pairs(a: DataFrame, b: DataFrame, threshold_micro: int = 0) -> DataFrame:
+def iou_pairs(a: DataFrame, b: DataFrame, threshold_micro: int = 0, each_once: bool = False) -> DataFrame:
     """Boxes (frame, class, id, x, y, w, h in integer units): id pairs of the same frame and class with their IoU in
-    millionths, rounded half up."""
-    r = b.select("frame", "class", F.col("id").alias("id_b"), *[F.col(c).alias(f"b{c}") for c in "xywh"])
-    j = a.withColumnRenamed("id", "id_a").join(r, ["frame", "class"])
+    millionths, rounded half up. ``each_once``: only pairs with the smaller id first, for a table against itself.
+
+    Above a threshold of zero boxes must touch; that test and the order are part of the join, so other pairs never leave it.
+    """
+    r = b.select(F.col("frame").alias("bframe"), F.col("class").alias("bclass"), F.col("id").alias("id_b"), *[F.col(c).alias(f"b{c}") for c in "xywh"])
+    on = (F.col("frame") == F.col("bframe")) & (F.col("class") == F.col("bclass"))
+    if threshold_micro > 0:
+        for p, s in ("xw", "yh"):
+            on = on & (F.col(p) < F.col("b" + p) + F.col("b" + s)) & (F.col("b" + p) < F.col(p) + F.col(s))
+    if each_once:
+        on = on & (F.col("id_a") < F.col("id_b"))
+    j = a.withColumnRenamed("id", "id_a").join(r, on)
     side = lambda p, s: F.greatest(F.least(F.col(p) + F.col(s), F.col("b" + p) + F.col("b" + s)) - F.greatest(F.col(p), F.col("b" + p)), F.lit(0)).cast("bigint")
     inter = side("x", "w") * side("y", "h")
     union = F.col("w").cast("bigint") * F.col("h") + F.col("bw").cast("bigint") * F.col("bh") - inter

@@ -120,7 +120,7 @@ WITH p AS (SELECT a.frame, a.class, a.id AS id_a, b.id AS id_b, greatest(least(a
 SELECT frame, class, id_a, id_b, ((i * 1000000 + (s - i) // 2) // (s - i))::BIGINT AS iou FROM p WHERE s > i AND (i * 1000000 + (s - i) // 2) // (s - i) >= 300000"""))
 def _iou(t):
     b = boxes(t)
-    return M.iou_pairs(b, b, 300000).filter("id_a < id_b")
+    return M.iou_pairs(b, b, 300000, each_once=True)
 
 
 @query("nms")
