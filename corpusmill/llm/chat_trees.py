@@ -48,8 +48,9 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     jumps, reach, most = [], 1, own.count()
     while state.filter("up is not null").limit(1).count() and reach <= most:
         jumps.append(state)
-        state = stored(state.alias("a").join(state.alias("b"), _same("a", "b", "up", "id"), "left").select(
-            "a.tree", "a.id", F.col("b.up").alias("up"), (F.col("a.steps") + F.coalesce("b.steps", F.lit(0))).alias("steps"), (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total")), "state")
+        climbing = state.filter("up is not null").alias("a").join(state.alias("b"), _same("a", "b", "up", "id")).select(
+            "a.tree", "a.id", F.col("b.up").alias("up"), (F.col("a.steps") + F.col("b.steps")).alias("steps"), (F.col("a.total") + F.col("b.total")).alias("total"))
+        state = stored(state.filter("up is null").unionByName(climbing), "state")        # what has reached its root joins no more
         reach *= 2
     leaves = state.filter("up is null").alias("s").join(own.alias("c"), _same("s", "c", "id", "parent"), "left_anti").select("tree", "id", (F.col("total") / F.col("steps")).alias("mean"))
     rank = F.row_number().over(W.partitionBy("tree").orderBy(F.desc("mean"), "id"))
