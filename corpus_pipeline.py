@@ -31,8 +31,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source go, and n_chars follows the text."""
-    out = line_dedup.drop_boilerplate(docs)
+    """Boilerplate lines of a source go, those of five words and more from one per cent of its pages on, and n_chars follows the text."""
+    out = line_dedup.drop_boilerplate(docs, long_percent=1)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -2,13 +2,14 @@
 
 A line is compared without the blanks, tabs and carriage returns around it; lines with nothing else are neither counted nor
 dropped. A line counts once per page. It is dropped from the pages of a host that has it on at least ``min_pages`` pages
-and on more than ``max_percent`` per cent of its pages. What stays is joined by newlines as it was.
+and on more than ``max_percent`` per cent of its pages. With ``long_percent`` that lower ratio holds for lines of ``long_words``
+words and more, which do not repeat by chance as short ones do. What stays is joined by newlines as it was.
 
 Null text stays null; a null host counts as the host ''. Every row is a page, also one that repeats another. An empty
 table gives an empty table; columns besides the host's and the text's don't matter.
 
 A host's pages are never gathered: pages and lines are counted with partial sums, and the boilerplate of a host is short,
-as each of its lines is on more than ``max_percent`` per cent of the pages (at most 100 / max_percent times the mean
+as each of its lines is on more than the lower ratio's per cent of the pages (at most 100 / ratio times the mean
 number of lines). It is written first, so that Spark knows its size when it chooses how to bring it to the pages; where it
 must shuffle, adaptive execution splits hot hosts.
 """
@@ -28,20 +29,23 @@ def _hash(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
 
 
-def boilerplate(pages: DataFrame, max_percent: int = 10, min_pages: int = 4, text_col: str = "text", host_col: str = "source") -> DataFrame:
+def boilerplate(pages: DataFrame, max_percent: int = 10, min_pages: int = 4, text_col: str = "text", host_col: str = "source",
+                long_percent: int | None = None, long_words: int = 5) -> DataFrame:
     """(host, line hash a and b, pages with the line, pages of the host) of the lines to drop."""
     base = pages.select(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(text_col).alias("text"))
     total = base.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
     lines = base.select("host", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(_EDGES))))).alias("line")).filter("line <> ''")
-    count = lines.select("host", _hash(F.col("line")).alias("h")).groupBy("host", "h.a", "h.b").agg(F.count(F.lit(1)).alias("line_pages"))
-    return count.filter(F.col("line_pages") >= min_pages).join(total, "host").filter(F.col("line_pages") * 100 > F.col("host_pages") * max_percent)
+    is_long = F.lit(False) if long_percent is None else F.size(F.split("line", "[ \\t]+")) >= long_words
+    count = lines.select("host", _hash(F.col("line")).alias("h"), is_long.alias("long")).groupBy("host", "h.a", "h.b", "long").agg(F.count(F.lit(1)).alias("line_pages"))
+    ratio = F.lit(max_percent) if long_percent is None else F.when(F.col("long"), F.lit(long_percent)).otherwise(F.lit(max_percent))
+    return count.filter(F.col("line_pages") >= min_pages).join(total, "host").filter(F.col("line_pages") * 100 > F.col("host_pages") * ratio).drop("long")
 
 
 def drop_boilerplate(pages: DataFrame, max_percent: int = 10, min_pages: int = 4, text_col: str = "text", host_col: str = "source",
-                     dropped_name: str | None = None) -> DataFrame:
+                     dropped_name: str | None = None, long_percent: int | None = None, long_words: int = 5) -> DataFrame:
     """The pages without their hosts' boilerplate; with ``dropped_name`` also how many lines each page lost."""
     host, drop, keep = fresh(pages, "host_of_page", "lines_to_drop", "lines_kept")
-    found = boilerplate(pages, max_percent, min_pages, text_col, host_col)
+    found = boilerplate(pages, max_percent, min_pages, text_col, host_col, long_percent, long_words)
     per_host = stored(found.groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("lines")), "boilerplate") \
         .select(F.col("host").alias(host), F.col("lines").alias(drop))
     keyed = pages.withColumn(host, F.coalesce(F.col(host_col).cast("string"), F.lit("")))
