@@ -228,6 +228,34 @@ def test_disclosing_terms(spark, odd, empty):
     assert disclosure.find(odd).count() == len(ODD) and disclosure.find(empty).count() == 0
 
 
+def disclosing(texts, threshold=0.9):
+    """Revealing terms by brute force over whole texts."""
+    n, words = len(texts), [{w for w in re.split(r"[\W_]+", t.lower()) if len(w) >= 3} for t in texts]
+    held = [{(k, m[0].lower()) for k, (p, ok) in enumerate(PLAIN.values()) for m in re.finditer(p, t) if ok(m[0])} for t in texts]
+    held = [h | {(k, None) for k, _ in h} for h in held]
+    n_t, n_e = Counter(w for ws in words for w in ws), Counter(e for h in held for e in h)
+    n_te = Counter((w, e) for ws, h in zip(words, held) for w in ws for e in h)
+    return {w for (w, e), c in n_te.items() if n_e[e] < n and n_t[w] + 1 <= (c + n_e[e] / n) * (n / n_e[e]) ** (1 - threshold)}
+
+
+def test_terms_of_single_texts_disclose(spark):
+    rng = random.Random(6)
+    texts = [" ".join(f"common{rng.randrange(300)}" for _ in range(rng.randrange(3, 12))) for _ in range(2500)]
+    texts[7] += " Quillfeather " + "far " * 40 + "one@mail.com"                  # one text, further apart than a line
+    texts[8] += " Twicetold +1 (555) 010-9999"
+    texts[9] += " Twicetold +1 (555) 010-9999"
+    texts += [f"Zebrafinch number{i % 3} has secret{i}@mail.com" for i in range(40)] + ["only Zebrafinch here"]
+    want = disclosing(texts)
+    assert {"quillfeather", "twicetold", "zebrafinch"} <= want and not want & {f"common{i}" for i in range(300)}
+    by = {r.id: r for r in disclosure.find(spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], SCHEMA)).collect()}
+    for i, t in enumerate(texts):
+        base = [(s.start, s.end) for s in by[i].base]
+        words = [m for m in re.finditer(r"[^\W_]+", t) if m[0].lower() in want and not any(m.start() < b and a < m.end() for a, b in base)]
+        assert [(s.start, s.end) for s in by[i].spans if s.k == 4] == [(m.start(), m.end()) for m in words]
+    cases = spark.createDataFrame([(texts[i], by[i].spans) for i in (7, 8, len(texts) - 1)], "t string, s " + disclosure._SPAN)
+    assert ["[term]" in r.x for r in cases.select(disclosure.sanitise(F.col("t"), F.col("s")).alias("x")).collect()] == [True] * 3
+
+
 def test_chat_equals_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view conversations as select * from '{SF}/conversations.parquet'")
