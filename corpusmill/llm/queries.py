@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import byte_bpe, chat_trees, decontaminate, disclosure, line_dedup, near_dedup, quality_mil, quality_rules, toxicity_ftrl, warc
+from corpusmill.llm import byte_bpe, chat_trees, decontaminate, disclosure, line_dedup, near_dedup, quality_mil, quality_rules, suffix_dedup, toxicity_ftrl, warc
 from corpusmill.llm.common import shared_path, stored
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -91,6 +91,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path, payloads=False).select(F.col("id").alias("page_id"), F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.drop_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda s, x: s + x["end"] - x["start"])
+    return kept.select("doc_id", (F.octet_length("kept_bytes") + removed).cast("bigint").alias("n_bytes"), removed.alias("n_removed"),
+                       F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_mil, op3_toxicity_ftrl, op4_byte_bpe, op5_quality_rules,
-                                  op6_chat_trees, op7_decontaminate, op8_near_dedup, op9_disclosure, op10_warc)}
+                                  op6_chat_trees, op7_decontaminate, op8_near_dedup, op9_disclosure, op10_warc, op11_suffix_dedup)}
 SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op6_chat_trees": chat_trees.SQL, "op10_warc": warc.SQL}
