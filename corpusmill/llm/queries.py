@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import byte_bpe, chat_trees, decontaminate, disclosure, line_dedup, near_dedup, quality_mil, quality_rules, suffix_dedup, toxicity_ftrl, warc
-from corpusmill.llm.common import shared_path, stored
+from corpusmill.llm import byte_bpe, chat_trees, decontaminate, disclosure, line_dedup, near_dedup, periodic_runs, quality_mil, quality_rules, suffix_dedup, toxicity_ftrl, warc
+from corpusmill.llm.common import let, shared_path, stored
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 QUALITY_KEPT, TOXIC = 0.7, 0.5
@@ -98,6 +98,36 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+def looped(doc_id, text):
+    """The text in which, for one doc_id of ten, the words from some place on repeat the first of them."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def loop(words):
+        n = F.size(words).cast("bigint")
+        a = g % n
+        p = F.floor((n - a) / (g % 8 + 3)) + 1
+        return F.array_join(F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int")))), " ")
+
+    found = let(F.regexp_extract_all(text, F.lit("([^\\x20\\x09-\\x0D]+)"), 1), loop)
+    return F.when((h % 10 == 0) & text.isNotNull(), found).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", looped(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic_runs.find_runs(docs)
+
+    def better(x, best):
+        more, most = x["length"] * best["period"], best["length"] * x["period"]
+        return (more > most) | ((more == most) & (F.struct(x["start"], x["period"]) < F.struct(best["start"], best["period"])))
+
+    best = F.aggregate("runs", F.element_at("runs", 1), lambda s, x: F.when(better(x, s), x).otherwise(s))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[k].cast("string") for k in ("start", "length", "period")]), F.lit("\n"))), "")
+    rows = found.withColumn("best", F.when(F.size("runs") > 0, best))
+    return rows.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                       F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_mil, op3_toxicity_ftrl, op4_byte_bpe, op5_quality_rules,
-                                  op6_chat_trees, op7_decontaminate, op8_near_dedup, op9_disclosure, op10_warc, op11_suffix_dedup)}
+                                  op6_chat_trees, op7_decontaminate, op8_near_dedup, op9_disclosure, op10_warc, op11_suffix_dedup, op12_periodic_runs)}
 SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op6_chat_trees": chat_trees.SQL, "op10_warc": warc.SQL}
