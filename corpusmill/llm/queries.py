@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import byte_bpe, chat_trees, decontaminate, disclosure, line_dedup, near_dedup, periodic_runs, quality_mil, quality_rules, suffix_dedup, toxicity_ftrl, warc
+from corpusmill.llm import byte_bpe, chat_trees, decontaminate, disclosure, line_dedup, near_dedup, periodic_runs, quality_mil, quality_rules, suffix_dedup, toxicity_ftrl, turn_repair, warc
 from corpusmill.llm.common import let, shared_path, stored
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -128,6 +128,27 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows with faults put in: one of twenty each is dropped, emptied, robbed of its full stops, repeated, given to the user."""
+    def said(c):
+        return F.coalesce(F.col(c).cast("string"), F.lit(" "))
+
+    n = F.crc32(F.concat(said("conv_id"), F.lit(":"), said("turn"))) % 20
+    text = F.when(n == 1, "").when(n == 2, F.regexp_replace(said("text"), "[.!?]", "")).otherwise(said("text"))
+    copies = F.when(n == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.filter(n != 0).select("conv_id", "turn", F.when(n == 4, "user").otherwise(said("role")).alias("role"), text.alias("text"), F.explode(copies).alias("copy"))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    report, repaired = turn_repair.repair(damaged(rows))
+    found = report.join(turn_repair.digests(repaired), "c", "left").drop("c")
+    every = rows.select("conv_id").distinct()
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(found, every.conv_id.eqNullSafe(found.conv), "left").select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_mil, op3_toxicity_ftrl, op4_byte_bpe, op5_quality_rules,
-                                  op6_chat_trees, op7_decontaminate, op8_near_dedup, op9_disclosure, op10_warc, op11_suffix_dedup, op12_periodic_runs)}
+                                  op6_chat_trees, op7_decontaminate, op8_near_dedup, op9_disclosure, op10_warc, op11_suffix_dedup, op12_periodic_runs, op13_turn_repair)}
 SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op6_chat_trees": chat_trees.SQL, "op10_warc": warc.SQL}
