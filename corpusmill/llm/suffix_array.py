@@ -4,7 +4,7 @@ A suffix is of the smaller type (S) if the suffix after it is greater, else of t
 stands before them) are sorted by their substrings, which are named and, where names repeat, sorted as a shorter text by the same
 procedure. From them the order of all L suffixes follows in one pass over the buckets of first symbols, and from those the S ones.
 
-``_induce`` is that pass. It takes as many buckets at once as don't feed each other, and unrolls the repetition of a bucket's
+``_Pass`` is that pass. It takes as many buckets at once as don't feed each other, and unrolls the repetition of a bucket's
 own symbol, so each of its steps is a few array operations. The S pass is the same one over the complement of the symbols.
 """
 
@@ -36,61 +36,92 @@ def _chunks(low: np.ndarray) -> list[int]:
     return [*cuts, len(low)]
 
 
-def _induce(key: np.ndarray, seeds: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """All suffixes of the wanted type in order, from sorted seeds of the other type. In scanning a bucket its wanted suffixes
-    come before its seeds; the predecessor of each, if wanted, goes to the end of its own bucket."""
-    buckets = int(key.max()) + 1
-    every = np.flatnonzero(wanted).astype(np.int32)
-    fill = np.zeros(buckets + 1, np.int64)
-    np.cumsum(np.bincount(key[every], minlength=buckets), out=fill[1:])
-    head, seed_head = fill.copy(), np.searchsorted(key[seeds], np.arange(buckets + 1))
-    same = np.concatenate([[False], wanted[:-1] & wanted[1:] & (key[:-1] == key[1:])])
-    count = np.arange(len(key), dtype=np.int32)
-    back = count - np.maximum.accumulate(np.where(same, 0, count))          # how often the symbol repeats before, in wanted suffixes
-    low = np.full(buckets, buckets, np.int64)
-    source = np.concatenate([every, seeds])
-    source = source[source > 0]
-    source = source[wanted[source - 1] & (key[source - 1] != key[source])]
-    np.minimum.at(low, key[source], key[source - 1])
-    out = np.full(len(every), -1, np.int32)
-    cuts = _chunks(low)
-    for a, b in zip(cuts, cuts[1:]):
-        region, seed = out[head[a]:head[b]], seeds[seed_head[a]:seed_head[b]]
-        if not len(region) and not len(seed):
-            continue
-        if len(region):
-            first = region[region >= 0]
-            repeat = back[first]
-            if len(first) < len(region):
-                which = np.repeat(np.arange(len(first)), repeat + 1)
-                times = np.arange(len(which)) - np.repeat(np.cumsum(repeat + 1) - repeat - 1, repeat + 1)
-                order = np.lexsort((which, times, key[first][which]))
-                region[:] = first[which[order]] - times[order]
-        both = np.concatenate([region, seed])
-        if b - a > 1 and len(seed) and len(region):
-            both = both[np.argsort(key[both], kind="stable")]
-        prior = both[both > 0] - 1
-        prior = prior[wanted[prior] & (key[prior] != key[prior + 1])]
-        if not len(prior):
-            continue
-        target = key[prior]
-        order = np.argsort(target, kind="stable")
-        prior, target = prior[order], target[order]
-        begin = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]]))
-        size = np.diff(np.concatenate([begin, [len(target)]]))
-        out[fill[target] + np.arange(len(target)) - np.repeat(begin, size)] = prior
-        fill[target[begin]] += size
-    return out
+class _Pass:
+    """Induction of all suffixes of the wanted type from sorted seeds of the other type. What does not depend on the seeds' order is
+    found once: sizes of buckets, repetitions, and which buckets can be scanned together."""
+
+    def __init__(self, key: np.ndarray, seeds: np.ndarray, wanted: np.ndarray):
+        n, buckets = len(key), int(key.max()) + 1
+        every = np.flatnonzero(wanted)
+        self.key, self.size = key, len(every)
+        self.head = np.zeros(buckets + 1, np.int64)
+        np.cumsum(np.bincount(key[every], minlength=buckets), out=self.head[1:])
+        self.seed_head = np.zeros(buckets + 1, np.int64)
+        np.cumsum(np.bincount(key[seeds], minlength=buckets), out=self.seed_head[1:])
+        same = np.zeros(n, bool)
+        np.logical_and(wanted[:-1], wanted[1:], out=same[1:])
+        same[1:] &= key[:-1] == key[1:]
+        at = np.flatnonzero(same)                                              # how often the symbol repeats before, in wanted suffixes
+        self.back = np.zeros(n, np.int32)
+        if len(at):
+            first = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))
+            self.back[at] = at - np.repeat(at[first], np.diff(np.concatenate([first, [len(at)]]))) + 1
+        self.feeds = np.zeros(n, bool)
+        self.feeds[seeds] = True
+        self.feeds |= wanted
+        self.feeds[0] = False
+        self.feeds[1:] &= wanted[:-1] & ~same[1:]
+        source = np.flatnonzero(self.feeds)
+        low = np.full(buckets, buckets, np.int64)
+        if buckets < 1024:                                                     # few symbols: which of them stand side by side
+            pair = np.flatnonzero(np.bincount(key[source].astype(np.int64) * buckets + key[source - 1]))
+            of, to = pair[::-1] // buckets, pair[::-1] % buckets
+        else:
+            order = np.argsort(key[source - 1], kind="stable")[::-1]
+            of, to = key[source][order], key[source - 1][order]
+        low[of] = to                                                           # the smallest one comes last and stays
+        self.cuts = _chunks(low)
+
+    def run(self, seeds: np.ndarray) -> np.ndarray:
+        """In scanning a bucket its wanted suffixes come before its seeds; the predecessor of each, if wanted, goes to the end of its own bucket."""
+        key, head, seed_head, back, feeds = self.key, self.head, self.seed_head, self.back, self.feeds
+        fill = head.copy()
+        out = np.full(self.size, -1, np.int32)
+        for a, b in zip(self.cuts, self.cuts[1:]):
+            region, both = out[head[a]:head[b]], seeds[seed_head[a]:seed_head[b]]
+            if len(region):
+                first = region[region >= 0]
+                if len(first) < len(region):
+                    repeat = back[first]
+                    which = np.repeat(np.arange(len(first)), repeat + 1)
+                    times = np.arange(len(which)) - np.repeat(np.cumsum(repeat + 1) - repeat - 1, repeat + 1)
+                    order = np.lexsort((times, key[first][which]))
+                    region[:] = first[which[order]] - times[order]
+                if len(both):
+                    both = np.concatenate([region, both])
+                    if b - a > 1:
+                        both = both[np.argsort(key[both], kind="stable")]
+                else:
+                    both = region
+            prior = both[feeds[both]] - 1
+            if not len(prior):
+                continue
+            target = key[prior]
+            order = np.argsort(target, kind="stable")
+            prior, target = prior[order], target[order]
+            begin = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]]))
+            size = np.diff(begin, append=len(target))
+            head_of = target[begin]
+            out[np.arange(len(target)) + np.repeat(fill[head_of] - begin, size)] = prior
+            fill[head_of] += size
+        return out
+
+
+class _Order:
+    """The order of all suffixes that sorted leftmost ones induce."""
 
+    def __init__(self, text: np.ndarray, small: np.ndarray, left: np.ndarray):
+        self.text, last = text, np.array([len(text) - 1], np.int32)
+        rest = small.copy()
+        rest[-1] = False
+        self.last = last
+        self.to_large = _Pass(text, left, ~small)
+        self.to_rest = _Pass(text.max() - text, np.flatnonzero(~small), rest)
 
-def _order(text: np.ndarray, small: np.ndarray, leftmost: np.ndarray) -> np.ndarray:
-    """The order of all suffixes that sorted leftmost ones induce."""
-    large = _induce(text, leftmost, ~small)
-    wanted = small.copy()
-    wanted[-1] = False
-    rest = _induce(text.max() - text, large[::-1], wanted)[::-1]
-    both = np.concatenate([np.array([len(text) - 1], np.int32), large, rest])
-    return both[np.argsort(text[both], kind="stable")]
+    def run(self, leftmost: np.ndarray) -> np.ndarray:
+        large = self.to_large.run(leftmost)
+        both = np.concatenate([self.last, large, self.to_rest.run(large[::-1])[::-1]])
+        return both[np.argsort(self.text[both], kind="stable")]
 
 
 def _sorted(text: np.ndarray) -> np.ndarray:
@@ -102,7 +133,8 @@ def _sorted(text: np.ndarray) -> np.ndarray:
     small = _smaller(text)
     is_left = np.concatenate([[False], small[1:] & ~small[:-1]])
     left = np.flatnonzero(is_left).astype(np.int32)
-    rough = _order(text, small, left[np.argsort(text[left], kind="stable")])
+    order = _Order(text, small, left)
+    rough = order.run(left[np.argsort(text[left], kind="stable")])
     placed = rough[is_left[rough]]
     length = np.ones(n, np.int64)                            # of the substring up to the next leftmost suffix, its first symbol included
     length[left[:-1]] = np.diff(left) + 1
@@ -120,7 +152,7 @@ def _sorted(text: np.ndarray) -> np.ndarray:
     names = name[left]
     if names.max() + 1 < len(left):
         placed = left[_sorted(names)]
-    return _order(text, small, placed)
+    return order.run(placed)
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:

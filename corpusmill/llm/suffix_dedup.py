@@ -11,7 +11,7 @@ string is in exactly one segment.
    in a bitmap of 32 MB, whatever their number: it only spares segments the way to the shards. A full bitmap spares none; then
    segments of 3 to 4 bytes for each byte of text travel.
 2. Equal segments are summed before and while they move, so a group of copies is one segment with a number.
-3. A shard is a few megabytes of segments, whole anchors each. Its suffix array is induced (``suffix_array``); where the permuted common
+3. A shard is about a megabyte of segments, whole anchors each (an anchor whose segments are all equal is settled by their number). Its suffix array is induced (``suffix_array``); where the permuted common
    prefix with the suffix before or after reaches ``length``, the string is repeated. All strings of a segment that has copies are.
 4. Segments of an anchor with more bytes than a shard holds (a passage in very many different surroundings) are split by string:
    hashes of 128 bits, counted with partial sums.
@@ -188,16 +188,19 @@ def _flat(seg: list[bytes], group: np.ndarray, start: np.ndarray, end: np.ndarra
 def _shard_spans(found: DataFrame, length: int, shard: int) -> DataFrame:
     """(seg, start, end) of what is repeated in segments (anchor, body, n, twice), each anchor's in one partition and together."""
     def work(anchors, bodies, numbers, inner):
-        sums: dict = {}
-        for a, n in zip(anchors, numbers):
-            sums[a] = sums.get(a, 0) + n
-        kept = [k for k, a in enumerate(anchors) if sums[a] > 1 or inner[k]]
-        bodies, numbers = [bodies[k] for k in kept], [numbers[k] for k in kept]
+        of_anchor: dict = {}
+        for k, a in enumerate(anchors):
+            of_anchor.setdefault(a, []).append(k)
+        alone = [k[0] for k in of_anchor.values() if len(k) == 1 and not inner[k[0]]]
+        many = [k for k in alone if numbers[k] > 1]                 # equal segments only: no other string has their anchor
+        yield _flat([hashlib.md5(bodies[k]).digest() for k in many], np.arange(len(many)), np.zeros(len(many)), np.array([len(bodies[k]) for k in many]))
+        rest = sorted(set(range(len(anchors))) - set(alone))
+        bodies, numbers = [bodies[k] for k in rest], np.array([numbers[k] for k in rest])
         if not bodies:
             return
         of, at = repeated_strings(bodies, length)
-        many = np.flatnonzero(np.array(numbers) > 1)
-        one = np.array(numbers)[of] == 1
+        many = np.flatnonzero(numbers > 1)
+        one = numbers[of] == 1
         group, start, end = runs_of(at[one], of[one], length)
         sizes = np.array([len(b) for b in bodies])
         yield _flat([hashlib.md5(b).digest() for b in bodies], np.concatenate([group, many]), np.concatenate([start, np.zeros(len(many), np.int64)]), np.concatenate([end, sizes[many]]))
