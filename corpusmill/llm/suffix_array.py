@@ -118,9 +118,13 @@ class _Order:
         self.to_large = _Pass(text, left, ~small)
         self.to_rest = _Pass(text.max() - text, np.flatnonzero(~small), rest)
 
-    def run(self, leftmost: np.ndarray) -> np.ndarray:
+    def run(self, leftmost: np.ndarray, whole: bool = True) -> np.ndarray:
+        """Without ``whole``, of the smaller type only."""
         large = self.to_large.run(leftmost)
-        both = np.concatenate([self.last, large, self.to_rest.run(large[::-1])[::-1]])
+        rest = self.to_rest.run(large[::-1])[::-1]
+        if not whole:
+            return np.concatenate([self.last, rest])
+        both = np.concatenate([self.last, large, rest])
         return both[np.argsort(self.text[both], kind="stable")]
 
 
@@ -134,7 +138,7 @@ def _sorted(text: np.ndarray) -> np.ndarray:
     is_left = np.concatenate([[False], small[1:] & ~small[:-1]])
     left = np.flatnonzero(is_left).astype(np.int32)
     order = _Order(text, small, left)
-    rough = order.run(left[np.argsort(text[left], kind="stable")])
+    rough = order.run(left[np.argsort(text[left], kind="stable")], whole=False)
     placed = rough[is_left[rough]]
     length = np.ones(n, np.int64)                            # of the substring up to the next leftmost suffix, its first symbol included
     length[left[:-1]] = np.diff(left) + 1

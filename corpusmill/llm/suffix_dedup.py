@@ -11,7 +11,7 @@ string is in exactly one segment.
    in a bitmap of 32 MB, whatever their number: it only spares segments the way to the shards. A full bitmap spares none; then
    segments of 3 to 4 bytes for each byte of text travel.
 2. Equal segments are summed before and while they move, so a group of copies is one segment with a number.
-3. A shard is about a megabyte of segments, whole anchors each (an anchor whose segments are all equal is settled by their number). Its suffix array is induced (``suffix_array``); where the permuted common
+3. A shard is about half a megabyte of segments, whole anchors each (an anchor whose segments are all equal is settled by their number). Its suffix array is induced (``suffix_array``); where the permuted common
    prefix with the suffix before or after reaches ``length``, the string is repeated. All strings of a segment that has copies are.
 4. Segments of an anchor with more bytes than a shard holds (a passage in very many different surroundings) are split by string:
    hashes of 128 bits, counted with partial sums.
@@ -37,7 +37,7 @@ from corpusmill.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 LENGTH, PIECE = 200, 32
 #: Bytes of segments in a shard's suffix array, and of an anchor's segments beyond which it is split by string.
-SHARD = 1 << 20
+SHARD = 1 << 19
 BITS = 28
 _BASES = np.array([0x9E3779B97F4A7C15, 0xD1342543DE82EF95], np.uint64)
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -81,11 +81,12 @@ def segments(texts: list[bytes], length: int, piece: int) -> tuple:
         return data, none, none, none, none, none.astype(bool)
     value, width = rolling(data, piece, _BASES[0]), length - piece + 1
     least = least_of(value, width)
-    of = np.searchsorted(ends, np.arange(len(least)), side="right")
-    inside = np.arange(len(least)) + length <= ends[of]
+    sizes = np.diff(ends, prepend=0)
+    inside = np.repeat(ends, sizes)[:len(least)] - np.arange(len(least)) >= length
     edge = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (inside[1:] != inside[:-1]), [True]]))
     start, count = edge[:-1], np.diff(edge)
     start, count = start[inside[start]], count[inside[start]]
+    of = np.searchsorted(ends, start, side="right")
     within = np.arange(width)
     twice = np.zeros(len(start), bool)
     for k in range(0, len(start), 4096):
@@ -93,11 +94,11 @@ def segments(texts: list[bytes], length: int, piece: int) -> tuple:
         first = a + np.argmin(value[a[:, None] + within], axis=1)
         final = last + width - 1 - np.argmin(value[last[:, None] + within[::-1]], axis=1)
         twice[k:k + 4096] = first != final
-    return data, of[start], start, count, scramble(least[start]).view(np.int64), twice
+    return data, of, start, count, scramble(least[start]).view(np.int64), twice
 
 
-def _portions(batch: pa.RecordBatch, at: int, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of about a megabyte of text, or one row."""
+def _portions(batch: pa.RecordBatch, at: int, most: int = 1 << 17) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of about an eighth of a megabyte of text, or one row: their hashes fit into a processor's cache."""
     rows = [(t or "").encode() for t in batch.column(at).to_pylist()]
     a = size = 0
     for b, t in enumerate(rows):
