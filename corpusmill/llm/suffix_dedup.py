@@ -223,16 +223,29 @@ def _shard_spans(found: DataFrame, length: int, shard: int) -> DataFrame:
 
 def _string_spans(found: DataFrame, length: int) -> DataFrame:
     """The same for segments (anchor, body, n) of anchors too large for a shard: strings are counted by their hashes."""
+    def strings_of(bodies, numbers):
+        data = np.frombuffer(b"".join(bodies), np.uint8)
+        count = np.array([len(b) - length + 1 for b in bodies])
+        begin = np.cumsum([0, *[len(b) for b in bodies[:-1]]])
+        start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        at = start + np.repeat(begin, count)
+        seg = pa.array([hashlib.md5(b).digest() for b in bodies], pa.binary())
+        of = np.repeat(np.arange(len(bodies)), count)
+        a, b = (pa.array(rolling(data, length, base)[at].view(np.int64)) for base in _BASES)
+        return pa.RecordBatch.from_arrays([seg.take(pa.array(of)), pa.array(start.astype(np.int32)), a, b, pa.array(np.array(numbers)[of])], ["seg", "start", "a", "b", "n"])
+
     def run(batches):
         for batch in batches:
+            bodies, numbers, size = [], [], 0
             for body, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                data = np.frombuffer(body, np.uint8)
-                a, b = (rolling(data, length, base).view(np.int64) for base in _BASES)
-                m, seg = len(a), hashlib.md5(body).digest()
-                for k in range(0, m, 1 << 16):
-                    size = min(1 << 16, m - k)
-                    yield pa.RecordBatch.from_arrays([pa.array([seg] * size, pa.binary()), pa.array(np.arange(k, k + size, dtype=np.int32)), pa.array(a[k:k + size]), pa.array(b[k:k + size]),
-                                                      pa.array(np.full(size, n, np.int64))], ["seg", "start", "a", "b", "n"])
+                bodies.append(body)
+                numbers.append(n)
+                size += len(body)
+                if size >= 1 << 17:
+                    yield strings_of(bodies, numbers)
+                    bodies, numbers, size = [], [], 0
+            if bodies:
+                yield strings_of(bodies, numbers)
 
     strings = found.mapInArrow(run, "seg binary, start int, a long, b long, n long")
     often = strings.groupBy("a", "b").agg(F.sum("n").alias("n")).filter("n > 1").select("a", "b")
