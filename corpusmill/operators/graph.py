@@ -39,6 +39,29 @@ def edge_integrity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         c(~ext & ~d, "dangling_dst"), c(ext & F.col("external_ref").isNull(), "external_without_ref"))
 
 
+def walk_through(links: DataFrame, own: DataFrame) -> DataFrame:
+    """(node, lo, hi): the smallest and largest value that a node has itself or reaches over its links.
+
+    links: (node, over); own: (node, lo, hi), at most one row a node. In each round a node takes the values of the nodes it links
+    to. A link to a node that has a single link itself then points to where that one does, so a chain is walked in steps of doubling length; a
+    link to a node without links is done with. Links never become more. When a round changes no value, none will change later:
+    every node already has what its links offer, and so what their links offer. Only changed values are written.
+    """
+    links = cut_lineage(links.filter("node <> over").distinct())
+    parts = cut_lineage(own.select("node", "lo", "hi"))
+    while True:
+        known = parts.groupBy("node").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        offered = links.join(known.withColumnRenamed("node", "over"), "over").groupBy("node").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        old = known.select("node", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+        new = cut_lineage(offered.join(old, "node", "left").filter("_lo IS NULL OR lo < _lo OR hi > _hi").select("node", "lo", "hi"))
+        if new.isEmpty():
+            return known
+        onward = links.groupBy(F.col("node").alias("over")).agg(F.count(F.lit(1)).alias("n"), F.min("over").alias("next"))
+        links = cut_lineage(links.join(onward, "over").select("node", F.when(F.col("n") == 1, F.col("next")).otherwise(F.col("over")).alias("over"))
+                            .filter("node <> over").distinct())
+        parts = parts.unionByName(new)
+
+
 def resolve_supersession(records: DataFrame, edges: DataFrame) -> DataFrame:
     """Live-successor state per record: (rvid, immediate_live, conflicted, has_live_successor).
 
@@ -46,8 +69,8 @@ def resolve_supersession(records: DataFrame, edges: DataFrame) -> DataFrame:
     successors that are not current and stops at current ones; edges across namespaces do not count.
 
     Worked out on nodes, not on (start, node) pairs: each node carries the smallest and the largest live record it can
-    reach, and only nodes whose pair changed are joined again. A cycle cannot make a record its own successor, because
-    a pair equal to the record itself on both ends counts as nothing.
+    reach (``walk_through``). A cycle cannot make a record its own successor, because a pair equal to the record itself on
+    both ends counts as nothing.
     """
     keyed = records.select("rvid", "namespace", "status")
     a, b = keyed.alias("a"), keyed.alias("b")
@@ -58,17 +81,8 @@ def resolve_supersession(records: DataFrame, edges: DataFrame) -> DataFrame:
         .select(F.col("e.src").alias("src"), F.col("e.dst").alias("dst"), (F.col("a.status") == "current").alias("live")))
     direct = hop.filter("live").groupBy("dst").agg(
         F.count(F.lit(1)).alias("immediate_live"), F.min("src").alias("lo"), F.max("src").alias("hi"))
-    through = hop.filter("NOT live").select("src", "dst")
-    reach = cut_lineage(direct.select(F.col("dst").alias("rvid"), "lo", "hi"))
-    fresh = reach
-    while not fresh.isEmpty():          # ends: smallest records only fall and largest only rise
-        pushed = through.join(fresh.withColumnRenamed("rvid", "src"), "src").groupBy(F.col("dst").alias("rvid")).agg(
-            F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        old = reach.select("rvid", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-        fresh = cut_lineage(pushed.join(old, "rvid", "left").select(
-            "rvid", F.least("lo", "_lo").alias("lo"), F.greatest("hi", "_hi").alias("hi"), "_lo", "_hi"
-        ).filter("_lo IS NULL OR lo < _lo OR hi > _hi").select("rvid", "lo", "hi"))
-        reach = cut_lineage(reach.join(fresh.select("rvid"), "rvid", "left_anti").unionByName(fresh))
+    reach = walk_through(hop.filter("NOT live").select(F.col("dst").alias("node"), F.col("src").alias("over")),
+                         direct.select(F.col("dst").alias("node"), "lo", "hi")).withColumnRenamed("node", "rvid")
     return (
         keyed.select("rvid").join(reach, "rvid", "left")
         .join(direct.select(F.col("dst").alias("rvid"), "immediate_live"), "rvid", "left")
@@ -85,23 +99,112 @@ def effective_current(records: DataFrame, resolved: DataFrame) -> DataFrame:
         cur & ~F.coalesce("has_live_successor", F.lit(False))).alias("effective_current"))
 
 
-def cycle_members(edges: DataFrame, peels_per_round: int = 3) -> DataFrame:
-    """(id) of nodes on, or between, directed cycles: what remains after stripping loose ends until nothing is loose.
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges whose start has an edge into it and whose end has one out of it."""
+    return edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(
+        edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
 
-    Several strips share one checkpoint, so long chains do not cost one write per link.
-    """
-    live = cut_lineage(edges.select("src", "dst").distinct())
-    before = live.count()
-    while before:                       # ends: each round but the last removes edges
-        for _ in range(peels_per_round):
-            live = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(
-                live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        live = cut_lineage(live.select("src", "dst"))
-        after = live.count()
-        if after == before:
+
+def _chains(edges: DataFrame) -> DataFrame:
+    """(id, prev, next) of nodes with one edge in and one out, from and to other nodes."""
+    out = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("_o"), F.min("dst").alias("next"))
+    into = edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("_i"), F.min("src").alias("prev"))
+    return out.join(into, "id").filter("_o = 1 AND _i = 1 AND next <> id AND prev <> id").select("id", "prev", "next")
+
+
+def _jumped(chain: DataFrame, size: int) -> DataFrame:
+    """The same with prev and next outside the chains: pointers over chain nodes double until they leave them. On a cycle of chain nodes
+    alone they never do, and stay inside after as many steps as there are nodes."""
+    steps = 1
+    while steps <= size:
+        one = chain.join(chain.select(F.col("id").alias("next"), F.col("next").alias("_n")), "next", "left").withColumn("next", F.coalesce("_n", "next")).drop("_n")
+        both = one.join(chain.select(F.col("id").alias("prev"), F.col("prev").alias("_p")), "prev", "left")
+        moved = cut_lineage(both.select("id", F.coalesce("_p", "prev").alias("prev"), "next", F.col("_p").isNotNull().alias("_m")))
+        chain, steps = moved.drop("_m"), steps * 2
+        if moved.filter("_m").isEmpty():
             break
-        before = after
-    return live.select(F.col("src").alias("id")).union(live.select("dst")).distinct()
+    return chain
+
+
+def _coloured(edges: DataFrame) -> DataFrame:
+    """(id, scc): in a graph where every node has edges in and out, each node takes the largest id that reaches it as its colour; the nodes of a colour
+    that reach the node it is named after are a strongly connected component with it. Components found are returned, other nodes are not."""
+    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    colour = cut_lineage(nodes.withColumn("c", F.col("id")))
+    while True:
+        pushed = edges.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("c").alias("_c"))
+        new = cut_lineage(colour.join(pushed, "id", "left").select("id", F.greatest("c", "_c").alias("c"), (F.col("_c") > F.col("c")).alias("_m")))
+        colour = new.drop("_m")
+        if new.filter("_m").isEmpty():
+            break
+    inside = cut_lineage(edges.join(colour.withColumnRenamed("id", "src"), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("_d")), "dst").filter("c = _d").select("src", "dst", "c"))
+    found = front = cut_lineage(colour.filter("id = c"))
+    while not front.isEmpty():
+        back = inside.join(front.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id"), "c").distinct()
+        front = cut_lineage(back.join(found.select("id"), "id", "left_anti"))
+        found = found.unionByName(front)
+    return found.select("id", F.col("c").alias("scc"))
+
+
+def cycle_components(edges: DataFrame) -> DataFrame:
+    """(id, scc) of the nodes on directed cycles; ``scc`` names the strongly connected component they are on cycles of.
+
+    Three steps repeat until no edge is left. Loose ends (no edge in, or none out) go. Chains of nodes with one edge in and one out
+    become one edge, by pointers of doubling length; whether such nodes are on a cycle is decided with the edge. What remains
+    branches everywhere; its components are found by colouring. Rounds grow with the logarithm of a chain's or a tree's
+    length, and with the distances between branching nodes.
+    """
+    left = cut_lineage(edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    labels, waiting = [], []
+    while not left.isEmpty():
+        size = left.count()
+        slim = cut_lineage(_trimmed(_trimmed(left)))
+        chain = cut_lineage(_chains(slim))
+        n = chain.count()
+        if n:
+            jumped = cut_lineage(_jumped(chain, n))
+            ids = jumped.select("id")
+            rings = cut_lineage(jumped.join(ids.withColumnRenamed("id", "next"), "next", "left_semi"))
+            if not rings.isEmpty():
+                labels.append(_named_rings(rings, chain))
+            open_ = cut_lineage(jumped.join(rings.select("id"), "id", "left_anti"))
+            waiting.append(open_)
+            kept = slim.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti")
+            slim = cut_lineage(kept.unionByName(open_.select(F.col("prev").alias("src"), F.col("next").alias("dst"))).distinct())
+        now = slim.count()
+        if now == size:                                     # nothing loose and no chain: only branching nodes
+            found = cut_lineage(_coloured(slim))
+            sizes = found.groupBy("scc").agg(F.count(F.lit(1)).alias("_k"))
+            selfish = slim.filter("src = dst").select(F.col("src").alias("id"), F.lit(True).alias("_self"))
+            labels.append(cut_lineage(found.join(sizes, "scc").join(selfish, "id", "left").filter("_k > 1 OR _self").select("id", "scc")))
+            gone = found.select("id")
+            slim = cut_lineage(slim.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"))
+        left = slim
+    known = edges.select(F.col("src").alias("id"), F.col("src").alias("scc")).limit(0)
+    for part in labels:
+        known = known.unionByName(part)
+    known = cut_lineage(known)
+    for open_ in reversed(waiting):                      # chains were contracted in this order; the last ones hang on nodes of later rounds
+        a = known.select(F.col("id").alias("prev"), F.col("scc").alias("_a"))
+        b = known.select(F.col("id").alias("next"), F.col("scc").alias("_b"))
+        known = cut_lineage(known.unionByName(open_.join(a, "prev").join(b, "next").filter("_a = _b").select("id", F.col("_a").alias("scc"))))
+    return known
+
+
+def _named_rings(rings: DataFrame, chain: DataFrame) -> DataFrame:
+    """(id, scc) of cycles of chain nodes alone: the smallest id, found by steps of doubling length."""
+    now = chain.join(rings.select("id"), "id", "left_semi").select("id", "next", F.col("id").alias("scc"))
+    while True:
+        ahead = now.select(F.col("id").alias("next"), F.col("next").alias("_n"), F.col("scc").alias("_s"))
+        new = cut_lineage(now.join(ahead, "next").select("id", F.col("_n").alias("next"), F.least("scc", "_s").alias("scc"), (F.col("_s") < F.col("scc")).alias("_m")))
+        now = new.drop("_m")
+        if new.filter("_m").isEmpty():
+            return now.select("id", "scc")
+
+
+def cycle_members(edges: DataFrame) -> DataFrame:
+    """(id) of nodes on directed cycles. Nodes between two cycles are not on one."""
+    return cycle_components(edges).select("id")
 
 
 def ancestors(edges: DataFrame, seeds: DataFrame, max_depth: int = 32) -> DataFrame:

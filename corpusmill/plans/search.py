@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import derive_literals, derive_terms
 from corpusmill.operators import graph as G
+from corpusmill.operators import inverted as I
 from corpusmill.operators import search as Q
 from corpusmill.plans import shapes as S
 from corpusmill.plans.documents import lex_sql
@@ -41,16 +42,25 @@ def chunks(t):
     return S.corpus(t).select(F.col("doc_id").alias("chunk_id"), "source_path", "text", "namespace", "content_hash")
 
 
+def lexical_index(t):
+    """The index of the corpus by the lexical tokeniser, shared by every query of the session."""
+    return I.shared_index(chunks(t), Q.tokens_lex, t.documents, "lexical")
+
+
+def folded_index(t):
+    """The same by words with case and Latin accents folded."""
+    return I.shared_index(chunks(t), Q.fts_tokens, t.documents, "folded")
+
+
 def lexical_hits(t, k: int):
-    return Q.bm25(bench_queries(t), chunks(t), k)
+    return I.any_terms(lexical_index(t), bench_queries(t), k)
 
 
 @query("term_statistics", S.with_ctes("lex_post lex_tot", """
 SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, max(tf) AS max_tf, max(n) AS n_docs, max(sdl)::BIGINT AS sum_dl FROM lex_post, lex_tot GROUP BY term"""))
 def _stats(t):
-    post, df, totals = Q.term_stats(chunks(t))
-    per = post.groupBy("term").agg(F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
-    return df.join(per, "term").join(totals, on=F.lit(True)).select("term", "df", "cf", "max_tf", "n_docs", "sum_dl")
+    index = lexical_index(t)
+    return index.table("terms").join(index.totals, on=F.lit(True)).select("term", "df", "cf", "max_tf", "n_docs", "sum_dl")
 
 
 @query("bm25_topk", S.with_ctes("lex_hits", "SELECT query_id, rank, chunk_id, source_path, score FROM lex_hits WHERE rank <= 10"))
@@ -65,7 +75,7 @@ s AS (SELECT query_id, chunk_id, source_path, floor(sum((ln(1 + (n - df + 0.5) /
 r AS (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_path, chunk_id) AS rank FROM s JOIN q1 USING (query_id) WHERE n_terms = needed)
 SELECT query_id, rank, chunk_id, source_path, score FROM r WHERE rank <= 10"""))
 def _fts(t):
-    return Q.fts_all_terms(bench_queries(t), chunks(t), 10)
+    return I.all_terms(folded_index(t), bench_queries(t), 10)
 
 
 # Needles: the passages, every namespace name (found in paths) and two short words without an inner word.

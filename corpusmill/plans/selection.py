@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.operators import search as Q
+from corpusmill.operators import inverted as I
 from corpusmill.operators import selection as L
 from corpusmill.plans import shapes as S
 from corpusmill.plans.registry import query
-from corpusmill.plans.search import bench_queries, chunks, lexical_hits
+from corpusmill.plans.search import bench_queries, folded_index, lexical_hits
 from corpusmill.session import cut_lineage
 
 DEPTH = 20
@@ -50,10 +50,7 @@ S.register_cte("outcomes", "SELECT b.*, w.outcome FROM budgeted_rows b JOIN walk
 
 def occurrences(t):
     a = lexical_hits(t, DEPTH).select("query_id", F.concat(F.lit("rv"), "chunk_id").alias("rvid"), F.lit("lexical").alias("channel"), "rank", "score")
-    q = Q.query_terms(bench_queries(t), Q.fts_tokens)
-    c = chunks(t)
-    folded = Q.bm25_scores(q, Q.postings(c, q, Q.fts_tokens), Q.corpus_totals(c, Q.fts_tokens)).filter("score > 0")
-    b = Q.best_chunks(folded, c, DEPTH).select(
+    b = I.any_terms(folded_index(t), bench_queries(t), DEPTH).select(
         "query_id", F.concat(F.lit("rv"), "chunk_id").alias("rvid"), F.lit("folded").alias("channel"), "rank", "score")
     return a.unionByName(b)
 
