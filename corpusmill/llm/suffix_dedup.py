@@ -249,7 +249,17 @@ def _string_spans(found: DataFrame, length: int) -> DataFrame:
 
     strings = found.mapInArrow(run, "seg binary, start int, a long, b long, n long")
     often = strings.groupBy("a", "b").agg(F.sum("n").alias("n")).filter("n > 1").select("a", "b")
-    return strings.drop("n").join(often, ["a", "b"], "left_semi").select("seg", "start", (F.col("start") + length).alias("end"))
+    hits = strings.drop("n").join(often, ["a", "b"], "left_semi").groupBy("seg").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+
+    def joined(column):
+        at = column.flatten().to_numpy(zero_copy_only=False)
+        of = np.repeat(np.arange(len(column)), [len(x) for x in column])
+        group, start, end = runs_of(at, of, length)
+        offsets = np.searchsorted(group, np.arange(len(column) + 1))
+        fields = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["start", "end"])
+        return [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), fields)]
+
+    return append_columns(hits, ["starts"], [T.StructField("found", SPANS)], lambda: joined).select("seg", F.inline("found"))
 
 
 def _merged(spans: list) -> list[tuple[int, int]]:
