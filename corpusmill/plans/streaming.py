@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpusmill.plans import shapes as S
+from corpusmill.plans.documents import lex_sql
 from corpusmill.plans.registry import query
+from corpusmill.plans.traces import writes
 from corpusmill.session import ensure_checkpoint_dir
 from corpusmill.streaming import streams as X
 
@@ -62,3 +64,42 @@ def _dispatch(t):
     place = _place(t)
     out = X.run_to_parquet(X.dispatch_reconciliation(plan, rep, "60 DAYS", "1 day"), f"{place}/out", f"{place}/ckpt")
     return out.groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("state_stream", S.with_ctes("cas", "SELECT task_id, seq, accepted, CASE WHEN accepted THEN head END::BIGINT AS version, reason FROM cas", recursive=True))
+def _state(t):
+    """The writes as a stream: the first three of each task, then, after a restart from the checkpoint, the others."""
+    place, spark = _place(t), t.spark
+    rows = writes(t)
+    # without the second setting a state with a time to live has one more batch, without data, for ever
+    own = {"spark.sql.streaming.stateStore.providerClass": X.ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        for part, cut in enumerate(("seq <= 3", "seq > 3")):
+            rows.filter(cut).write.parquet(f"{place}/in/part={part}")
+            src = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(f"{place}/in")
+            out = X.run_to_parquet(X.state_writes(src, ttl_ms=7 * 86_400_000), f"{place}/out", f"{place}/ckpt")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    return out
+
+
+@query("index_stream", f"""
+WITH d AS (SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY 1), k AS (SELECT doc_id, unnest({lex_sql('text')}) AS term FROM d)
+SELECT term, count(*) AS cf, count(DISTINCT doc_id) AS n_texts FROM k GROUP BY 1""")
+def _index(t):
+    """All documents in arrival order, in two runs of a stream: every text is offered again in the second one and indexed once."""
+    place, spark = _place(t), t.spark
+    docs = t.documents.select("doc_id", "text", F.sha2("text", 256).alias("content_hash"), F.timestamp_seconds(F.col("doc_id") * 60 + 1_700_000_000).alias("ts"))
+    half = docs.agg(F.expr("percentile_approx(doc_id, 0.5)")).first()[0]
+    parts = [docs.filter(F.col("doc_id") <= half), docs.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1000 DAYS"))]
+    for n, part in enumerate(parts):
+        part.write.parquet(f"{place}/in/part={n}")
+        src = spark.readStream.schema(docs.schema).option("recursiveFileLookup", True).parquet(f"{place}/in")
+        X.incremental_index(src, f"{place}/index", f"{place}/ckpt", buckets=8).awaitTermination()
+    post = X.index_table(spark, f"{place}/index", "postings")
+    texts = post.withColumn("doc_id", F.substring_index("chunk_id", "#", 1)).groupBy("term").agg(F.count_distinct("doc_id").alias("n_texts"))
+    return X.index_table(spark, f"{place}/index", "terms").select("term", "cf").join(texts, "term")

@@ -6,11 +6,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators.chunking import chunk_blocks
 from corpusmill.operators.search import postings
+from corpusmill.session import cut_lineage
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -89,27 +91,75 @@ def state_writes(writes: DataFrame, ttl_ms: int | None = None) -> DataFrame:
         outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
 
 
-def incremental_index(docs: DataFrame, out: str, checkpoint: str, max_chars: int = 1200, late: str = "1 day"):
-    """Documents (doc_id, text, content_hash, ts) -> chunk and posting tables under ``out``, each text indexed once.
+def _bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
 
-    Repeats inside the watermark are dropped by content; a text seen before that is recognised in the chunk table. Every
-    micro-batch overwrites its own ``batch`` folder, so a retried batch leaves no duplicates.
+
+def _stored(spark: SparkSession, path: str, schema: str, hit: list[int] | None, before: int | None) -> DataFrame:
+    """Rows of an index table (bucket, batch, ...): of the buckets hit, from batches before one. Buckets and batches are folders, so
+    nothing else is read."""
+    full = f"{schema}, bucket int, batch bigint"
+    try:
+        rows = spark.read.schema(full).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], full)
+    rows = rows if hit is None else rows.filter(F.col("bucket").isin(hit))
+    return rows if before is None else rows.filter(F.col("batch") < before)
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    """Of each bucket the rows of its latest batch."""
+    last = rows.groupBy("bucket").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["bucket", "batch"], "left_semi")
+
+
+def _put(df: DataFrame, path: str, batch_id: int) -> None:
+    """Write one batch's folders; a retried batch replaces its own and no others."""
+    df.withColumn("batch", F.lit(batch_id).cast("bigint")).repartition("bucket").write.partitionBy("bucket", "batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
+INDEX_TABLES = {"seen": "content_hash string", "chunks": "doc_id bigint, chunk_id string, text string", "postings": "chunk_id string, term string, tf bigint, dl bigint",
+                "terms": "term string, df bigint, cf bigint"}
+
+
+def index_table(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """A table of the incremental index as it stands: seen, chunks, postings, or terms (term, df, cf)."""
+    rows = _stored(spark, f"{out}/{name}", INDEX_TABLES[name], None, None)
+    return (_newest(rows) if name == "terms" else rows).drop("bucket", "batch")
+
+
+def add_to_index(docs: DataFrame, out: str, batch_id: int, max_chars: int = 1200, buckets: int = 64) -> None:
+    """Add documents (doc_id, text, content_hash) to the index under ``out``; texts seen in earlier batches are left out,
+    and of equal ones the smallest id counts.
+
+    Only the buckets that the batch's hashes and terms fall into are read and written. Seen texts, chunks and postings are appended to their
+    buckets; a bucket of term numbers is replaced by the sum of its last state and the batch. The same batch again gives the same folders.
     """
+    spark = docs.sparkSession
+    rows = cut_lineage(_bucketed(docs.select("doc_id", "text", "content_hash"), "content_hash", buckets))
+    hit = [r.bucket for r in rows.select("bucket").distinct().collect()]
+    seen = _stored(spark, f"{out}/seen", INDEX_TABLES["seen"], hit, batch_id)
+    firsts = rows.groupBy("bucket", "content_hash").agg(F.min(F.struct("doc_id", "text")).alias("d")).select("bucket", "content_hash", "d.doc_id", "d.text")
+    new = cut_lineage(firsts.join(seen.select("content_hash"), "content_hash", "left_anti"))
+    chunks = cut_lineage(_bucketed(chunk_blocks(new.drop("bucket"), max_chars).select("doc_id", F.concat_ws("#", "doc_id", "chunk_index").alias("chunk_id"), "text"), "chunk_id", buckets))
+    post = cut_lineage(_bucketed(postings(chunks.drop("bucket")), "term", buckets))
+    changed = [r.bucket for r in post.select("bucket").distinct().collect()]
+    old = _newest(_stored(spark, f"{out}/terms", INDEX_TABLES["terms"], changed, batch_id)).drop("batch")
+    more = post.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    terms = old.unionByName(more).groupBy("bucket", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    _put(chunks, f"{out}/chunks", batch_id)
+    _put(post, f"{out}/postings", batch_id)
+    _put(cut_lineage(terms), f"{out}/terms", batch_id)
+    _put(new.select("content_hash", "bucket"), f"{out}/seen", batch_id)
+
+
+def incremental_index(docs: DataFrame, out: str, checkpoint: str, max_chars: int = 1200, late: str = "1 day", buckets: int = 64):
+    """A stream of documents (doc_id, text, content_hash, ts) into the index under ``out``, each text indexed once: repeats inside the
+    watermark are dropped by the stream's state, older ones are found in the seen table. A restart after any failure repeats its last micro-batch."""
     fresh = docs.withWatermark("ts", late).dropDuplicatesWithinWatermark(["content_hash"])
-
-    def index(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        seen = spark.read.schema("content_hash string, batch bigint").parquet(f"{out}/seen") if batch_id else None
-        new = batch if seen is None else batch.join(seen.filter(F.col("batch") < batch_id).select("content_hash"), "content_hash", "left_anti")
-        new = new.select("doc_id", "text", "content_hash").persist()
-        chunks = chunk_blocks(new, max_chars).withColumn("chunk_id", F.concat_ws("#", "doc_id", "chunk_index")).persist()
-        chunks.write.mode("overwrite").parquet(f"{out}/chunks/batch={batch_id}")
-        postings(chunks).write.mode("overwrite").parquet(f"{out}/postings/batch={batch_id}")
-        new.select("content_hash").write.mode("overwrite").parquet(f"{out}/seen/batch={batch_id}")
-        chunks.unpersist()
-        new.unpersist()
-
-    return fresh.writeStream.foreachBatch(index).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return fresh.writeStream.foreachBatch(lambda batch, n: add_to_index(batch, out, n, max_chars, buckets)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def dispatch_reconciliation(plan: DataFrame, reports: DataFrame, within: str, late: str = "1 hour") -> DataFrame:

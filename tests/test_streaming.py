@@ -57,7 +57,12 @@ def test_incremental_index_equals_batch(spark, tables, tmp_path):
     docs.filter("doc_id >= 100").coalesce(1).write.parquet(str(tmp_path / "in" / "1"))
     s = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     X.incremental_index(s, str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "o" / "postings")).groupBy("term").agg(F.sum("tf").alias("n"))
     firsts = docs.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
-    want = postings(chunk_blocks(firsts, 1200).withColumn("chunk_id", F.concat_ws("#", "doc_id", "chunk_index"))).groupBy("term").agg(F.sum("tf").alias("n"))
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    want = postings(chunk_blocks(firsts, 1200).withColumn("chunk_id", F.concat_ws("#", "doc_id", "chunk_index")))
+    terms = want.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
+    got = X.index_table(spark, str(tmp_path / "o"), "terms")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, terms.collect()))
+    X.add_to_index(docs.filter("doc_id >= 100"), str(tmp_path / "o"), 1)                       # the last micro-batch once more, and one of known texts
+    X.add_to_index(docs, str(tmp_path / "o"), 9)
+    assert sorted(map(tuple, X.index_table(spark, str(tmp_path / "o"), "terms").collect())) == sorted(map(tuple, terms.collect()))
+    assert X.index_table(spark, str(tmp_path / "o"), "postings").count() == want.count()
