@@ -27,6 +27,10 @@ class Tables:
         self.spark, self.root = spark, root
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
+    def files(self, name: str) -> DataFrame:
+        """The table as it is stored, for what is asked of its files."""
+        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)

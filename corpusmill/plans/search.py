@@ -44,12 +44,12 @@ def chunks(t):
 
 def lexical_index(t):
     """The index of the corpus by the lexical tokeniser, shared by every query of the session."""
-    return I.shared_index(chunks(t), Q.tokens_lex, t.documents, "lexical")
+    return I.shared_index(chunks(t), Q.tokens_lex, t.files("documents"), "lexical")
 
 
 def folded_index(t):
     """The same by words with case and Latin accents folded."""
-    return I.shared_index(chunks(t), Q.fts_tokens, t.documents, "folded")
+    return I.shared_index(chunks(t), Q.fts_tokens, t.files("documents"), "folded")
 
 
 def lexical_hits(t, k: int):
