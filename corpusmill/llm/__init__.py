@@ -1,4 +1,4 @@
-"""Training-data operators: ten of them, each in a module of its own; ``queries`` registers them.
+"""Training-data operators: thirteen of them, each in modules of its own; ``queries`` registers them.
 
 Functions of this package travel to the tasks by value, so a cluster needs no copy of it on its machines.
 """
