@@ -129,3 +129,51 @@ def derive_supersession(notes: DataFrame, refs: DataFrame, index_rows: DataFrame
         .when(cell.startswith("closed"), "closed").otherwise("current").alias("status"),
         F.when(F.col("cell").isNull(), "no_index_row").when(edge & ~said, "edge_without_annotation")
         .when(~edge & said, "annotation_without_target").alias("disagreement"))
+
+
+# How a note says that it replaces others in full (the stretch up to a stop, at most 80 characters), or in part.
+FULL_CUES = (r"(?is)\bsupersedes?\b(.{0,80}?)(?:[.,;\n]|$)", r"(?is)\breplaces?\b(.{0,80}?)(?:[.,;\n]|$)")
+PART_CUE = r"(?is)\b(?:revises?|refines?|amend(?:s|ed)?|RE-FROZEN|reconciles?|folds? the .*? into)\b.{0,80}?(D-[0-9]{4})"
+
+
+def supersession_relations(notes: DataFrame, index_rows: DataFrame) -> DataFrame:
+    """Typed relation (successor, relation, target, said_in) of what notes and the index declare.
+
+    notes: (note_id, text); index_rows: (note_id, superseded_by, folded_by). ``supersedes``: a full successor, said in the
+    successor's text or at the target's index row; ``folds``: the target went into it (index only); ``revises``: replaced in
+    part, read only in notes without a full target; ``unresolved``: a full cue names an unknown note or the note itself. Rows
+    are distinct; a partial cue that names no other known note says nothing. NULL texts say nothing.
+    """
+    known = notes.select(F.col("note_id").alias("target")).distinct().withColumn("_known", F.lit(True))
+    spans = F.concat(*[F.regexp_extract_all(F.col("text"), F.lit(c), F.lit(1)) for c in FULL_CUES])
+    tokens = notes.filter("text IS NOT NULL").select("note_id", F.explode(spans).alias("_s")).select("note_id", F.explode(
+        F.regexp_extract_all("_s", F.lit(r"D-[0-9]{4}(?:/[0-9]{2}(?![0-9]))*"), F.lit(0))).alias("_t"))
+    first = F.substring("_t", 1, 6)
+    short = F.transform(F.regexp_extract_all("_t", F.lit("/([0-9]{2})"), F.lit(1)), lambda s: F.concat(F.substring("_t", 1, 4), s))
+    named = tokens.select("note_id", F.explode(F.concat(F.array(first), short)).alias("target")).distinct()
+    judged = named.join(known, "target", "left").select(
+        F.col("note_id").alias("successor"),
+        F.when(F.col("_known") & (F.col("target") != F.col("note_id")), "supersedes").otherwise("unresolved").alias("relation"), "target", F.lit("text").alias("said_in"))
+    part = notes.filter("text IS NOT NULL").select(F.col("note_id").alias("successor"), F.explode(F.regexp_extract_all("text", F.lit(PART_CUE), F.lit(1))).alias("target")).distinct()
+    part = part.filter("successor <> target").join(known, "target", "left_semi").join(
+        judged.filter("relation = 'supersedes'").select("successor"), "successor", "left_anti")
+    edge = lambda by, name: index_rows.filter(F.col(by).isNotNull()).select(
+        F.col(by).alias("successor"), F.lit(name).alias("relation"), F.col("note_id").alias("target"), F.lit("index").alias("said_in")).distinct()
+    return (judged.unionByName(part.select("successor", F.lit("revises").alias("relation"), "target", F.lit("text").alias("said_in")))
+            .unionByName(edge("superseded_by", "supersedes")).unionByName(edge("folded_by", "folds")))
+
+
+def relation_status(notes: DataFrame, relations: DataFrame, index_rows: DataFrame) -> DataFrame:
+    """(note_id, superseded_by, folded_into, revised_by, unresolved, status): how many of each, and the status they force. An edge
+    decides; where there is none the index row's word (``state_raw``) does."""
+    n = lambda name: F.count_if(F.col("relation") == name).cast("bigint").alias(name)
+    onto = relations.filter("relation <> 'unresolved'").groupBy(F.col("target").alias("note_id")).agg(n("supersedes"), n("folds"), n("revises"))
+    lost = relations.filter("relation = 'unresolved'").groupBy(F.col("successor").alias("note_id")).agg(F.countDistinct("target").alias("unresolved"))
+    cell = index_rows.groupBy("note_id").agg(F.min(F.lower("state_raw")).alias("_cell"))
+    j = notes.select("note_id").distinct().join(onto, "note_id", "left").join(lost, "note_id", "left").fillna(0).join(cell, "note_id", "left")
+    word = F.coalesce("_cell", F.lit(""))
+    status = F.when(F.col("supersedes") > 0, "superseded").when(F.col("folds") > 0, "folded")
+    for w in ("superseded", "folded", "closed"):
+        status = status.when(word.startswith(w), w)
+    return j.select("note_id", F.col("supersedes").alias("superseded_by"), F.col("folds").alias("folded_into"), F.col("revises").alias("revised_by"),
+                    "unresolved", status.otherwise("current").alias("status"))

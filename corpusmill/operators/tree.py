@@ -379,3 +379,129 @@ def nav_recall(required: DataFrame, fast: DataFrame, guaranteed: DataFrame, stat
     return agg.join(fb, on=F.lit(True))
 
 
+
+
+def search_trees(queries: DataFrame, scopes: DataFrame, nodes: DataFrame, edges: DataFrame, leaf_terms: DataFrame, k: int = 10,
+                 roots: int = 2, beam: int = 2, depth: int = 12) -> tuple[DataFrame, DataFrame]:
+    """The ``k`` leaves of a query's namespaces that share most of its terms, found best-first over many roots at once and
+    made whole by a flat pass.
+
+    queries: (query_id, terms array of distinct words, must: a word every answer has, or NULL); scopes: (query_id, namespace), a
+    query without a scope finds nothing; leaf_terms: (leaf_id, value), distinct, the words in the nodes' filters.
+    A round judges the frontier of all queries: nodes whose filter proves that ``must``, or every term, is absent below are
+    pruned (stale ones never are); of the others the best ``beam`` (``roots`` in the first round) by score, then id, are
+    expanded, the rest is written down as unexplored. What lies under unexplored nodes is then searched through the terms,
+    so hits don't depend on beam, roots or depth; those decide only how much the flat pass has left to do.
+
+    Returns hits (query_id, rank, leaf_id, overlap, via: walk or flat), by overlap, then id, and per query
+    (nodes_examined, pruned, unexplored, leaves_reached, fallback).
+    """
+    q = cut_lineage(queries.select(
+        "query_id", F.transform("terms", lambda t: F.struct(t.alias("t"), presence_positions(t).alias("bits"))).alias("terms"),
+        "must", presence_positions(F.lower("must")).alias("must_bits")))
+    attrs = nodes.select("node_id", "lex", "entities", "kinds", "bits", "stale")
+    level0 = edges.filter("level = 0").select("node_id", F.col("child_id").alias("leaf_id"))
+    kids = edges.filter("level > 0").select("node_id", F.col("child_id").alias("kid"))
+    has = lambda bits: F.forall(bits, lambda p: F.array_contains("bits", p))
+
+    def judged(front: DataFrame, most: int) -> DataFrame:
+        seen = front.join(q, "query_id").join(attrs, "node_id")
+        hopeless = F.coalesce(~has(F.col("must_bits")), F.lit(False)) | ~F.exists("terms", lambda t: has(t["bits"]))
+        seen = seen.select("query_id", "node_id", (~F.col("stale") & hopeless).alias("pruned"),
+                           match_key(F.col("terms"), F.col("lex"), F.col("entities"), F.col("kinds"), F.col("bits")).alias("score"))
+        place = F.row_number().over(W.partitionBy("query_id", "pruned").orderBy(F.desc("score"), "node_id"))
+        return cut_lineage(seen.select("query_id", "node_id", "pruned", (~F.col("pruned") & (place <= most)).alias("expanded")))
+
+    front = scopes.select("query_id", "namespace").distinct().join(nodes.filter("is_root").select("namespace", "node_id"), "namespace").select("query_id", "node_id")
+    log, most = None, roots
+    for _ in range(depth):
+        seen = judged(front, most)
+        log = seen if log is None else log.unionByName(seen)
+        front, most = seen.filter("expanded").join(kids, "node_id").select("query_id", F.col("kid").alias("node_id")), beam
+        if front.isEmpty():
+            break
+    else:
+        log = log.unionByName(front.select("query_id", "node_id", F.lit(False).alias("pruned"), F.lit(False).alias("expanded")))
+    log = cut_lineage(log)
+    reached = log.filter("expanded").join(level0, "node_id").select("query_id", "leaf_id")
+    left = log.filter("NOT pruned AND NOT expanded").select("query_id", "node_id")
+
+    words = leaf_terms.select("leaf_id", F.col("value").alias("t"))
+    asked = q.select("query_id", "must", F.explode("terms.t").alias("t"))
+    walked = reached.join(asked, "query_id").join(words, ["leaf_id", "t"]).withColumn("via", F.lit("walk"))
+    # only leaves that share a term can be hits; of those, the ones with an unexplored ancestor
+    shared = asked.join(left.select("query_id").distinct(), "query_id", "left_semi").join(words, "t")
+    flat = shared.join(leaf_paths(edges).select("leaf_id", "node_id"), "leaf_id").join(left, ["query_id", "node_id"], "left_semi").drop("node_id").withColumn("via", F.lit("flat"))
+    both = walked.select("query_id", "must", "leaf_id", "via").unionByName(flat.select("query_id", "must", "leaf_id", "via"))
+    scored = cut_lineage(both.groupBy("query_id", "leaf_id", "must").agg(F.count("*").alias("overlap"), F.max("via").alias("via")))
+    holds = words.select("leaf_id", F.col("t").alias("_w"))
+    free = scored.filter("must IS NULL")
+    bound = scored.filter("must IS NOT NULL").join(holds, (scored["leaf_id"] == holds["leaf_id"]) & (F.lower("must") == F.col("_w")), "left_semi")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("overlap"), "leaf_id")).cast("bigint")
+    hits = free.unionByName(bound).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "leaf_id", "overlap", "via")
+
+    per = log.groupBy("query_id").agg(F.count("*").alias("nodes_examined"), lcount(F.col("pruned")).alias("pruned"),
+                                      lcount(~F.col("pruned") & ~F.col("expanded")).alias("unexplored"))
+    got = reached.groupBy("query_id").agg(F.count("*").alias("leaves_reached"))
+    stats = q.select("query_id").join(per, "query_id", "left").join(got, "query_id", "left").fillna(0).withColumn("fallback", F.col("unexplored") > 0)
+    return hits, stats
+
+
+def node_digests(edges: DataFrame, leaf_hashes: DataFrame) -> DataFrame:
+    """(item_id, level, digest): a node's digest covers the ids and digests of its children, so a root's covers its whole
+    tree. leaf_hashes: (leaf_id, content_hash); leaves come back at level -1, one without a hash counts as empty."""
+    src = edges.filter("level = 0").select("child_id").join(
+        leaf_hashes.select(F.col("leaf_id").cast("string").alias("child_id"), "content_hash"), "child_id", "left").select("child_id", F.coalesce("content_hash", F.lit("")).alias("digest"))
+    src = cut_lineage(src)
+    out = src.select(F.col("child_id").alias("item_id"), F.lit(-1).cast("bigint").alias("level"), "digest")
+    for level in _levels(edges):
+        e = edges.filter(F.col("level") == level).select("node_id", "child_id")
+        part = _digest_of(e.join(src, "child_id"))
+        part = _cut_some(part, level)
+        out = out.unionByName(part.select(F.col("node_id").alias("item_id"), F.lit(level).cast("bigint").alias("level"), "digest"))
+        src = part.select(F.col("node_id").alias("child_id"), "digest")
+    return out
+
+
+def _digest_of(members: DataFrame) -> DataFrame:
+    """(node_id, child_id, digest of the child) -> (node_id, digest); a node has at most as many rows as its fan-out."""
+    line = F.concat("child_id", F.lit(":"), "digest")
+    return members.groupBy("node_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"))
+
+
+def locate_damage(edges: DataFrame, stored: DataFrame, current: DataFrame) -> DataFrame:
+    """(leaf_id, steps): leaves whose content is not what the stored digests were taken from. The walk starts at roots that differ
+    and enters only children that differ, so one broken leaf costs its path. stored / current: (item_id, level, digest)."""
+    diff = stored.select("item_id", "level", F.col("digest").alias("_s")).join(current.select("item_id", F.col("digest").alias("_c")), "item_id", "left").filter(
+        ~F.col("_s").eqNullSafe(F.col("_c"))).select("item_id", "level")
+    diff = cut_lineage(diff)
+    levels = _levels(edges)
+    roots = edges.select(F.col("node_id").alias("item_id")).distinct().join(edges.select(F.col("child_id").alias("item_id")), "item_id", "left_anti")
+    front, out = diff.join(roots, "item_id", "left_semi").select("item_id", F.lit(0).cast("bigint").alias("steps")), None
+    for _ in levels:
+        below = edges.join(front.withColumnRenamed("item_id", "node_id"), "node_id").select(F.col("child_id").alias("item_id"), (F.col("steps") + 1).alias("steps"))
+        front = cut_lineage(below.join(diff, "item_id"))
+        leaves = front.filter("level < 0").select(F.col("item_id").alias("leaf_id"), "steps")
+        out = leaves if out is None else out.unionByName(leaves)
+        front = front.filter("level >= 0").select("item_id", "steps")
+    return out
+
+
+def validate_digests(edges: DataFrame, stored: DataFrame, leaf_hashes: DataFrame, child_lists: DataFrame) -> DataFrame:
+    """(check, violations): stored child lists against the edges, stored digests against those of the stored children and
+    against the content as it is now, and the leaves to which differences are traced.
+
+    stored: (item_id, level, digest); leaf_hashes: (leaf_id, content_hash) of now; child_lists: (node_id, children)."""
+    def row(name: str, df: DataFrame) -> DataFrame:
+        return df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check"), "violations")
+
+    real = edges.groupBy("node_id").agg(F.array_sort(F.collect_list("child_id")).alias("_real"))
+    lists = real.join(child_lists.select("node_id", F.array_sort("children").alias("_said")), "node_id", "left").filter(~F.col("_said").eqNullSafe(F.col("_real")))
+    again = _digest_of(edges.select("node_id", "child_id").join(stored.select(F.col("item_id").alias("child_id"), "digest"), "child_id"))
+    off = stored.filter("level >= 0").join(again.select(F.col("node_id").alias("item_id"), F.col("digest").alias("_d")), "item_id", "left").filter(~F.col("_d").eqNullSafe(F.col("digest")))
+    now = cut_lineage(node_digests(edges, leaf_hashes))
+    old = stored.filter("level >= 0").join(now.select("item_id", F.col("digest").alias("_d")), "item_id", "left").filter(~F.col("_d").eqNullSafe(F.col("digest")))
+    out = row("child_lists_match", lists)
+    for name, df in (("digest_of_stored_children", off), ("digest_of_content", old), ("damaged_leaves", locate_damage(edges, stored, now))):
+        out = out.unionByName(row(name, df))
+    return out

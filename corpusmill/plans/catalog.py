@@ -280,6 +280,53 @@ def _declared(t):
     return V.derive_supersession(ids, refs, index)
 
 
+# Notes that replace others in full, in part or by folding, some of which nobody wrote; the index adds its own edges.
+S.register_cte("rel_notes", """SELECT 'D-' || lpad((o_orderkey % 10000)::VARCHAR, 4, '0') AS note_id,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'this supersedes D-' || c || '/42/45, done. It amends D-' || third WHEN '2-HIGH' THEN 'it replaces D-' || c || ' and D-' || third || '. Refines D-0007'
+   WHEN '3-MEDIUM' THEN 'amends the rule of D-' || c || ', reconciles it with D-' || third WHEN '4-NOT SPECIFIED' THEN 'folds the old rule into this: D-' || third ELSE 'mentions D-' || c END AS text
+  FROM (SELECT *, lpad((o_custkey % 10000)::VARCHAR, 4, '0') AS c, lpad((o_custkey // 3 % 10000)::VARCHAR, 4, '0') AS third FROM orders)""")
+S.register_cte("rel_index", """SELECT 'D-' || lpad((o_orderkey % 10000)::VARCHAR, 4, '0') AS note_id, CASE o_orderstatus WHEN 'F' THEN 'Superseded' WHEN 'P' THEN 'Folded in' WHEN 'O' THEN 'closed' END AS state_raw,
+  CASE WHEN o_orderstatus = 'F' AND o_totalprice > 400000 THEN 'D-' || lpad((o_custkey % 10000)::VARCHAR, 4, '0') END AS superseded_by,
+  CASE WHEN o_totalprice < 100000 THEN 'D-' || lpad((o_custkey // 3 % 10000)::VARCHAR, 4, '0') END AS folded_by FROM orders""")
+S.register_cte("rel", """SELECT * FROM (
+ WITH w AS (SELECT note_id, unnest(list_concat(regexp_extract_all(text, '(?is)\\bsupersedes?\\b(.{0,80}?)(?:[.,;\\n]|$)', 1), regexp_extract_all(text, '(?is)\\breplaces?\\b(.{0,80}?)(?:[.,;\\n]|$)', 1))) AS win FROM rel_notes),
+ m AS (SELECT note_id, unnest(regexp_extract_all(win, 'D-[0-9]{4}(?:/[0-9]{2})*')) AS tok FROM w),
+ n AS (SELECT note_id, substring(tok, 1, 6) AS target FROM m UNION SELECT note_id, substring(tok, 1, 4) || unnest(regexp_extract_all(tok, '/([0-9]{2})', 1)) FROM m),
+ f AS (SELECT note_id AS successor, CASE WHEN target <> note_id AND target IN (SELECT note_id FROM rel_notes) THEN 'supersedes' ELSE 'unresolved' END AS relation, target, 'text' AS said_in FROM n),
+ p AS (SELECT DISTINCT note_id AS successor, unnest(regexp_extract_all(text, '(?is)\\b(?:revises?|refines?|amend(?:s|ed)?|RE-FROZEN|reconciles?|folds? the .*? into)\\b.{0,80}?(D-[0-9]{4})', 1)) AS target FROM rel_notes)
+ SELECT * FROM f UNION ALL SELECT successor, 'revises', target, 'text' FROM p WHERE successor <> target AND target IN (SELECT note_id FROM rel_notes) AND successor NOT IN (SELECT successor FROM f WHERE relation = 'supersedes')
+ UNION ALL SELECT DISTINCT superseded_by, 'supersedes', note_id, 'index' FROM rel_index WHERE superseded_by IS NOT NULL UNION ALL SELECT DISTINCT folded_by, 'folds', note_id, 'index' FROM rel_index WHERE folded_by IS NOT NULL)""", ["rel_notes", "rel_index"])
+
+
+def relation_tables(t):
+    num = lambda c: F.concat(F.lit("D-"), F.lpad((c % 10000).cast("string"), 4, "0"))
+    me, cust, third = num(F.col("o_orderkey")), num(F.col("o_custkey")), num(F.expr("o_custkey div 3"))
+    p, st, say = F.col("o_orderpriority"), F.col("o_orderstatus"), lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    text = (F.when(p == "1-URGENT", say("this supersedes ", cust, "/42/45, done. It amends ", third)).when(p == "2-HIGH", say("it replaces ", cust, " and ", third, ". Refines D-0007"))
+            .when(p == "3-MEDIUM", say("amends the rule of ", cust, ", reconciles it with ", third)).when(p == "4-NOT SPECIFIED", say("folds the old rule into this: ", third))
+            .otherwise(say("mentions ", cust)))
+    index = t.orders.select(
+        me.alias("note_id"), F.when(st == "F", "Superseded").when(st == "P", "Folded in").when(st == "O", "closed").alias("state_raw"),
+        F.when((st == "F") & (F.col("o_totalprice") > 400000), cust).alias("superseded_by"), F.when(F.col("o_totalprice") < 100000, third).alias("folded_by"))
+    return t.orders.select(me.alias("note_id"), text.alias("text")), index
+
+
+@query("supersession_relations", S.with_ctes("rel", "SELECT * FROM rel"))
+def _relations(t):
+    return V.supersession_relations(*relation_tables(t))
+
+
+@query("relation_status", S.with_ctes("rel", """
+WITH o AS (SELECT target AS note_id, count(*) FILTER (relation = 'supersedes') AS superseded_by, count(*) FILTER (relation = 'folds') AS folded_into, count(*) FILTER (relation = 'revises') AS revised_by FROM rel WHERE relation <> 'unresolved' GROUP BY 1),
+l AS (SELECT successor AS note_id, count(DISTINCT target) AS unresolved FROM rel WHERE relation = 'unresolved' GROUP BY 1), c AS (SELECT note_id, min(lower(state_raw)) AS cell FROM rel_index GROUP BY 1)
+SELECT note_id, coalesce(superseded_by, 0) AS superseded_by, coalesce(folded_into, 0) AS folded_into, coalesce(revised_by, 0) AS revised_by, coalesce(unresolved, 0) AS unresolved,
+ CASE WHEN superseded_by > 0 OR (coalesce(folded_into, 0) = 0 AND cell = 'superseded') THEN 'superseded' WHEN folded_into > 0 OR cell = 'folded in' THEN 'folded' WHEN cell = 'closed' THEN 'closed' ELSE 'current' END AS status
+FROM (SELECT DISTINCT note_id FROM rel_notes) LEFT JOIN o USING (note_id) LEFT JOIN l USING (note_id) LEFT JOIN c USING (note_id)"""))
+def _relation_status(t):
+    n, index = relation_tables(t)
+    return V.relation_status(n, V.supersession_relations(n, index), index)
+
+
 # ---- graph -------------------------------------------------------------------------------------------------------
 # A typed reference graph of the sales tables.
 S.register_cte("ref_nodes", """SELECT 'c' || c_custkey AS id FROM customer UNION ALL SELECT 'o' || o_orderkey FROM orders UNION ALL
