@@ -175,6 +175,23 @@ def test_quality_rules_equal_brute_force(spark, empty):
     assert quality_rules.judge(empty).count() == 0
 
 
+def test_posterior_rejects_bad_texts_that_pass_the_base(spark):
+    """Planted texts that no hard rule catches go, clean ones stay, and the labels, which no rule reads, agree better than the hard rules."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghilmnorstu") for _ in range(rng.randrange(2, 9)))
+    plain = lambda n: " ".join(word() + (". " if k % 12 == 11 else "") for k in range(n)) + "."
+    planted = {10**6: " ".join(word().upper() + "!!" for _ in range(120)), 10**6 + 1: " ".join(word() + rng.choice(["***", "$$$", "%%%"]) for _ in range(120)),
+               10**6 + 2: " | ".join(word() for _ in range(120)), 2 * 10**6: plain(120), 2 * 10**6 + 1: plain(900) + "\n" + plain(60)}
+    out = quality_rules.judge(docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(planted.items()), "doc_id long, text string")))
+    by = {r.id: r for r in out.filter(F.col("id") >= 10**6).collect()}
+    assert not any(r.base_failed for r in by.values()) and [by[i].kept for i in planted] == [False, False, False, True, True]
+    seen = out.join(labels, out.id == labels.doc_id).select("quality", "base_failed", "kept").collect()
+    hits = [(r.kept == (r.quality == 1), (not r.base_failed) == (r.quality == 1)) for r in seen]
+    assert sum(a for a, _ in hits) > sum(b for _, b in hits)
+    assert all(not r.kept for r in seen if r.quality == 0) and sum(not r.kept and not r.base_failed for r in seen if r.quality == 1) <= 0.01 * len(seen)
+
+
 def test_estimate_finds_accuracies():
     rng = random.Random(1)
     right = [0.95, 0.8, 0.6]
