@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusmill.operators import evaluation as E
 from corpusmill.operators import search as Q
 from corpusmill.plans import shapes as S
-from corpusmill.plans.registry import query
+from corpusmill.plans.registry import all_sql, query
 from corpusmill.plans.search import bench_queries, lexical_hits, vector_hits
 from corpusmill.plans.selection import dispositions, ordered, outcomes
 from corpusmill.session import cut_lineage
@@ -285,7 +285,10 @@ def _codes(t):
     return E.reason_code_coverage(ordered(t))
 
 
-@query("disposition_accuracy")
+@query("disposition_accuracy", f"""
+WITH j AS (SELECT CASE WHEN length(text) > 400 THEN 'answerable' ELSE 'abstain' END AS expected, disposition AS actual, count(*) AS n
+  FROM benchmark JOIN ({all_sql()["packet_disposition"]}) ON query_id = item_id WHERE length(text) > 200 GROUP BY 1, 2)
+SELECT expected, actual, n, (SELECT {pp("coalesce(sum(n) FILTER (expected = actual), 0)", "sum(n)", 1000000)} FROM j) AS accuracy FROM j""")
 def _disposition_accuracy(t):
     expected = t.benchmark.select(F.col("item_id").alias("query_id"), F.when(F.length("text") > 400, "answerable").when(F.length("text") > 200, "abstain").alias("expected"))
     return E.disposition_accuracy(dispositions(t), expected)
