@@ -14,8 +14,7 @@ rows are encoded alike; extra columns pass through untouched.
 from __future__ import annotations
 
 import base64
-import sys
-import types
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -25,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import TwoLives, append_columns
+from corpusmill.llm.common import TwoLives, append_columns, process_memory
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -66,7 +65,7 @@ class Codec:
         self.shorter = lru_cache(maxsize=None)(lambda r: next((ranks[t] for k in range(self.length[r] - 1, 0, -1) if (t := self.tokens[r][:k]) in ranks), -1))
         self.halves = lru_cache(maxsize=None)(lambda t: merge(t, ranks, ranks[t]))
         self.last, self.first = lru_cache(maxsize=None)(lambda t: self.spine(t, True)), lru_cache(maxsize=None)(lambda t: self.spine(t, False))
-        self.known = TwoLives(lambda p: self.piece(p.encode()), most // 2)
+        self.known = TwoLives(lambda p: array("i", self.piece(p.encode())).tobytes(), most // 2)
         self.opening, self.following = TwoLives(self.chunk, most // 10), TwoLives(lambda c: self.chunk(" " + c), most)
 
     def spine(self, token: bytes, right: bool) -> list[tuple[bytes, int, int]]:
@@ -91,10 +90,7 @@ class Codec:
 
     def chunk(self, chunk: str) -> bytes:
         """Ids of a stretch of text that begins where a pre-token begins, as little-endian 32-bit numbers."""
-        out: list[int] = []
-        for p in self.split(chunk):
-            out += self.known[p]
-        return np.array(out, "<i4").tobytes()
+        return b"".join(map(self.known.__getitem__, self.split(chunk)))   # the same object where there is one pre-token
 
     def piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -153,7 +149,7 @@ class Codec:
 
 def codec_of(rank_file: str, pattern: str) -> Codec:
     """The worker process's codec: a later task in the same process goes on with what earlier ones remember."""
-    kept = sys.modules.setdefault("_corpusmill_process", types.ModuleType("_corpusmill_process")).__dict__.setdefault("codecs", {})
+    kept = process_memory("codecs")
     if (rank_file, pattern) not in kept:
         kept[rank_file, pattern] = Codec(read_ranks(rank_file), pattern)
     return kept[rank_file, pattern]
@@ -177,7 +173,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
         return work
 
     fields = [T.StructField(ids_name, T.ArrayType(T.IntegerType()))] + [T.StructField(decoded_name or "", T.BinaryType())] * bool(decoded_name)
-    return append_columns(docs, [text_col], fields, start)
+    return append_columns(docs, [text_col], fields, start, uses="codecs")
 
 
 def decode(rows: DataFrame, rank_file: str, pattern: str, ids_col: str = "token_ids", name: str = "decoded") -> DataFrame:
@@ -186,4 +182,4 @@ def decode(rows: DataFrame, rank_file: str, pattern: str, ids_col: str = "token_
         codec = codec_of(rank_file, pattern)
         return lambda lists: [pa.array([codec.text_bytes(np.array(x.as_py() or (), np.int64)).tobytes() for x in lists], pa.binary())]
 
-    return append_columns(rows, [ids_col], [T.StructField(name, T.BinaryType())], start)
+    return append_columns(rows, [ids_col], [T.StructField(name, T.BinaryType())], start, uses="codecs")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+import sys
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -45,8 +48,23 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def _portions(batch: pa.RecordBatch, at: list[int], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of about a megabyte of input each, or a single row."""
+def process_memory(name: str) -> dict:
+    """What the worker process keeps under ``name`` from one task to the next."""
+    return sys.modules.setdefault("_corpusmill_process", types.ModuleType("_corpusmill_process")).__dict__.setdefault(name, {})
+
+
+def forget(but: str | None = None) -> None:
+    """Let go of what other operators' tasks left in the worker process: a later stage doesn't pay for it."""
+    kept = sys.modules.get("_corpusmill_process")
+    gone = [k for k in vars(kept) if not k.startswith("__") and k != but] if kept else []
+    for k in gone:
+        del kept.__dict__[k]
+    if gone:
+        gc.collect()
+
+
+def _portions(batch: pa.RecordBatch, at: list[int], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Slices of about a quarter of a megabyte of input each, or a single row; arrays over a slice's bytes take some fifty times that."""
     size = np.zeros(batch.num_rows, np.int64)
     for k in at:
         col = batch.column(k)
@@ -61,13 +79,15 @@ def _portions(batch: pa.RecordBatch, at: list[int], most: int = 1 << 20) -> Iter
 
 
 def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField],
-                   start: Callable[[], Callable[..., list[pa.Array]]]) -> DataFrame:
+                   start: Callable[[], Callable[..., list[pa.Array]]], uses: str | None = None) -> DataFrame:
     """Add columns computed row by row from ``inputs``. ``start`` runs once in each task; what it returns maps the input
-    arrays of a batch to the arrays of the new columns. The names of ``fields`` must be new."""
+    arrays of a batch to the arrays of the new columns. The names of ``fields`` must be new. ``uses``: the name under which
+    the operator keeps something in the worker process."""
     at = [df.columns.index(c) for c in inputs]
     added = [pa.field(f.name, to_arrow_type(f.dataType)) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(uses)
         work = start()
         for whole in batches:
             for batch in _portions(whole, at):
