@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations, groupby, islice
+from math import comb
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.measures import lcount, ppm
+from corpusmill.session import cut_lineage
 from corpusmill.operators.events import ordered_groups
 from corpusmill.operators.numbering import scan_in_order
 
@@ -333,23 +336,45 @@ def near_dup_pairs(hashes: DataFrame, radius: int, bits: int = 64, spare: int =
     Equal hashes are folded first, so a hash with very many copies is one row; pairs(hash_a, hash_b, distance) plus
     members(hash, id) say everything without listing all copies against all. The string is cut into radius + spare bands:
     two hashes within the radius agree on at least ``spare`` bands, so each combination of that many bands is an equi-join
-    key (longer, hence rarer, than one band), and a pair is kept only under its first shared combination.
+    key (longer, hence rarer, than one band). Where such keys are too short to be rare, hashes meet in blocks instead.
     """
     members = hashes.select(F.col("bits").alias("hash"), "id")
-    d = members.select("hash").distinct()
+    words = [F.conv(F.substring("hash", 1 + 32 * w, 32), 2, 10).cast("bigint") for w in range(-(-bits // 32))]
+    d = cut_lineage(members.select("hash").distinct().select("hash", F.array(*words).alias("words")).filter(~F.exists("words", lambda w: w.isNull())))
     n = radius + spare
+    if comb(n, spare) * 1000 > 2 ** (bits * spare // n):      # keys this short meet more than a thousandth of all pairs
+        return _pairs_by_blocks(d, radius), members
     cuts = [bits * i // n for i in range(n + 1)]
     bands = [F.substring("hash", cuts[i] + 1, cuts[i + 1] - cuts[i]) for i in range(n)]
-    combos = list(combinations(range(n), spare))
-    keys = F.array(*[F.concat_ws("|", *[bands[i] for i in c]) for c in combos])
-    k = d.select("hash", keys.alias("_keys")).select("hash", "_keys", F.posexplode("_keys").alias("_c", "_k"))
-    a = k.select(F.col("hash").alias("hash_a"), F.col("_keys").alias("_ka"), "_c", "_k")
-    b = k.select(F.col("hash").alias("hash_b"), F.col("_keys").alias("_kb"), "_c", "_k")
-    first = F.array_position(F.zip_with("_ka", "_kb", lambda x, y: x == y), True) - 1
-    words = lambda c: [F.conv(F.substring(c, 1 + 32 * w, 32), 2, 10).cast("bigint") for w in range(-(-bits // 32))]
-    dist = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(words(F.col("hash_a")), words(F.col("hash_b")))), F.lit(0))
-    pairs = a.join(b, ["_c", "_k"]).filter((F.col("hash_a") < F.col("hash_b")) & (first == F.col("_c"))).select("hash_a", "hash_b", dist.cast("bigint").alias("distance"))
-    return pairs.filter(F.col("distance") <= radius), members
+    keys = F.array(*[F.concat_ws("|", *[bands[i] for i in c]) for c in combinations(range(n), spare)])
+    k = d.select("hash", "words", F.posexplode(keys).alias("_c", "_k"))
+    a = k.select(F.col("hash").alias("hash_a"), F.col("words").alias("_wa"), "_c", "_k")
+    b = k.select(F.col("hash").alias("hash_b"), F.col("words").alias("_wb"), "_c", "_k")
+    dist = F.aggregate(F.zip_with("_wa", "_wb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("bigint")), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    pairs = a.join(b, ["_c", "_k"]).filter(F.col("hash_a") < F.col("hash_b")).select("hash_a", "hash_b", dist.alias("distance"))
+    return pairs.filter(F.col("distance") <= radius).distinct(), members
+
+
+def _pairs_by_blocks(d: DataFrame, radius: int, block: int = 8192) -> DataFrame:
+    """All pairs of (hash, words) within the radius. Where the radius is too wide for keys, every pair has to be looked at: each
+    pair of blocks of some ``block`` hashes meets in one group, which compares a slice at a time, whatever the size of the table."""
+    blocks = max(1, -(-d.count() // block))
+    own = F.pmod(F.xxhash64("hash"), F.lit(blocks))
+    cells = d.withColumn("own", own).select("hash", "words", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("other")).select(
+        "hash", "words", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        low, high = key
+        left, right = pdf[pdf["own"] == low], pdf[pdf["own"] == high]
+        x, y = (np.array(side["words"].to_list(), np.int64).reshape(len(side), -1) for side in (left, right))
+        hx, hy, out = left["hash"].to_numpy(), right["hash"].to_numpy(), []
+        for i in range(0, len(x), 256):
+            dist = sum(np.bitwise_count(x[i:i + 256, w, None] ^ y[None, :, w]).astype(np.uint16) for w in range(x.shape[1]))
+            at = np.argwhere(dist <= radius)
+            out += [(min(p, q), max(p, q), int(dist[r, c])) for r, c in at if (p := hx[i + r]) != (q := hy[c]) and (low != high or p < q)]
+        return pd.DataFrame(out, columns=["hash_a", "hash_b", "distance"])
+
+    return cells.groupBy("low", "high").applyInPandas(meet, "hash_a string, hash_b string, distance bigint")
 
 
 def gap_rows(tracked: DataFrame) -> DataFrame:
