@@ -65,7 +65,7 @@ class Codec:
         self.shorter = lru_cache(maxsize=None)(lambda r: next((ranks[t] for k in range(self.length[r] - 1, 0, -1) if (t := self.tokens[r][:k]) in ranks), -1))
         self.halves = lru_cache(maxsize=None)(lambda t: merge(t, ranks, ranks[t]))
         self.last, self.first = lru_cache(maxsize=None)(lambda t: self.spine(t, True)), lru_cache(maxsize=None)(lambda t: self.spine(t, False))
-        self.known = TwoLives(lambda p: array("i", self.piece(p.encode())).tobytes(), most // 2)
+        self.known = TwoLives(self.packed, most // 2)
         self.opening, self.following = TwoLives(self.chunk, most // 10), TwoLives(lambda c: self.chunk(" " + c), most)
 
     def spine(self, token: bytes, right: bool) -> list[tuple[bytes, int, int]]:
@@ -90,7 +90,14 @@ class Codec:
 
     def chunk(self, chunk: str) -> bytes:
         """Ids of a stretch of text that begins where a pre-token begins, as little-endian 32-bit numbers."""
-        return b"".join(map(self.known.__getitem__, self.split(chunk)))   # the same object where there is one pre-token
+        pieces = self.split(chunk)
+        if len(pieces) == 1:                                  # the chunk's own memory will have it
+            return self.packed(pieces[0])
+        return b"".join(map(self.known.__getitem__, pieces))
+
+    def packed(self, piece: str) -> bytes:
+        """Ids of one pre-token, as little-endian 32-bit numbers."""
+        return array("i", self.piece(piece.encode())).tobytes()
 
     def piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""

@@ -53,6 +53,15 @@ def process_memory(name: str) -> dict:
     return sys.modules.setdefault("_corpusmill_process", types.ModuleType("_corpusmill_process")).__dict__.setdefault(name, {})
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task holds only what it keeps."""
+    import ctypes                                         # here, because functions go to the workers with their globals
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def forget(but: str | None = None) -> None:
     """Let go of what other operators' tasks left in the worker process: a later stage doesn't pay for it."""
     kept = sys.modules.get("_corpusmill_process")
@@ -61,6 +70,7 @@ def forget(but: str | None = None) -> None:
         del kept.__dict__[k]
     if gone:
         gc.collect()
+        give_back()
 
 
 def _portions(batch: pa.RecordBatch, at: list[int], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
@@ -94,13 +104,17 @@ def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField]
                 new = work(*[batch.column(k) for k in at])
                 yield pa.RecordBatch.from_arrays([*batch.columns, *[a.cast(f.type) if a.type != f.type else a for a, f in zip(new, added)]],
                                                  schema=pa.schema([*batch.schema, *added]))
+                del new, batch
+            del whole                                      # before the next one is read
+        del work
+        give_back()
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
 
 
 class TwoLives(dict):
-    """A memory of ``make`` that forgets what was not asked for lately: when ``most`` keys are in it, they become the older
-    generation, and the next such change drops those that were not asked for since."""
+    """A memory of ``make`` that forgets what was not asked for lately: when half of ``most`` keys are in it, they become the
+    older generation, and the next such change drops those that were not asked for since. Both together hold ``most`` at most."""
 
     def __init__(self, make: Callable, most: int):
         super().__init__()
@@ -110,7 +124,7 @@ class TwoLives(dict):
         out = self.older.get(key)
         if out is None:
             out = self.make(key)
-        if len(self) >= self.most:
+        if 2 * (len(self) + 1) > self.most:
             self.older = dict(self)
             self.clear()
         self[key] = out

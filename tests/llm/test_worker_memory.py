@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm import common, quality_mil
+from corpusmill.llm import byte_bpe, common, quality_mil
 
 
 def test_arrays_over_a_large_batch_are_bounded():
@@ -33,3 +33,25 @@ def test_a_task_lets_go_of_what_others_left(spark):
 
     seen = lambda name: common.append_columns(one, ["text"], [T.StructField("kept", T.StringType())], start(name), uses=name).first().kept
     assert [seen(n) for n in ("a", "b", "b")] == ["a", "b", "b"]
+
+
+def test_the_tokeniser_remembers_what_its_size_says():
+    codec = byte_bpe.Codec({bytes([b]): b for b in range(256)}, r" ?\w+| +", most=200)
+    for i in range(3000):
+        assert codec.ids(f"a{i} b{i}").tobytes() == b"".join(bytes([b, 0, 0, 0]) for b in f"a{i} b{i}".encode())
+    held = {n: len(m) + len(m.older) for n, m in (("following", codec.following), ("opening", codec.opening), ("known", codec.known))}
+    assert held["following"] <= 200 and held["opening"] <= 20 and held["known"] == 0    # single pre-tokens are held once
+
+
+def test_a_task_gives_its_memory_back(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    monkeypatch.setattr(common, "forget", lambda but=None: None)
+
+    class Table:
+        columns, schema = ["text"], T.StructType([T.StructField("text", T.StringType())])
+
+        def mapInArrow(self, run, schema):
+            return list(run(iter([pa.record_batch({"text": ["x"]})])))
+
+    assert len(common.append_columns(Table(), ["text"], [T.StructField("n", T.StringType())], lambda: lambda texts: [texts])) == 1 and calls == [1]
