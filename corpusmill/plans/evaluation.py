@@ -68,8 +68,9 @@ class Fixture:
         self.labels = cut_lineage(req.union(ev).union(bad))
         has = self.labels.filter("role = 'required'").select("query_id").distinct().withColumn("_h", F.lit(True))
         self.queries = bench_queries(t).select("query_id").join(has, "query_id", "left").select("query_id", F.col("_h").isNull().alias("no_answer_expected"))
-        r = S.records(t).select(F.col("doc_id").alias("chunk_id"), "content_hash", "status", "namespace", F.ceil(F.length("text") / F.lit(4)).cast("bigint").alias("tokens"), "text")
-        self.hits = cut_lineage(lexical_hits(t, DEPTH).join(r.drop("text"), "chunk_id"))
+        hits = cut_lineage(lexical_hits(t, DEPTH))
+        r = S.records(t, S.found(t, hits)).select(F.col("doc_id").alias("chunk_id"), "content_hash", "status", "namespace", F.ceil(F.length("text") / F.lit(4)).cast("bigint").alias("tokens"))
+        self.hits = cut_lineage(hits.join(r, "chunk_id"))
 
 
 @query("label_matching", S.with_ctes("elabels ehits", """
@@ -158,7 +159,7 @@ SELECT query_id, rank, array_to_string(list_filter([
   CASE WHEN NOT (CASE WHEN exists AND content_hash = chash THEN status = 'current' ELSE status <> 'current' END) THEN 'status_correct' END], lambda x: x IS NOT NULL), ',') AS failed_checks FROM q"""))
 def _provenance(t):
     f = Fixture(t)
-    c = S.corpus(t)
+    c = S.corpus(t, S.found(t, f.hits))
     lens = c.select(F.col("doc_id").alias("chunk_id"), "lang", F.octet_length("text").cast("bigint").alias("nb"), F.sha2(F.concat("text", F.lit(" rev2")), 256).alias("rev2"),
                     F.substring(E.collapse_ws(F.substring("text", 1, 60)), 1, 20).alias("snippet"))
     h = f.hits.join(lens, "chunk_id").withColumn("content_hash", F.when(F.col("lang") == "fr", F.col("rev2")).otherwise(F.col("content_hash"))).withColumn(

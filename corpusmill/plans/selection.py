@@ -58,11 +58,13 @@ def occurrences(t):
 def candidates(t):
     occ = cut_lineage(occurrences(t))
     best = occ.groupBy("query_id", "rvid").agg(F.max("score").alias("relevance"))
-    r = S.records(t).withColumnRenamed("source_path", "full_path").withColumn("source_path", F.concat_ws("/", "namespace", "lang"))
+    # written before it meets the records, so that Spark knows how small it is and leaves the texts of all others where they are
+    pool = cut_lineage(L.fuse(occ).withColumnRenamed("fused_rank", "rank").join(best, ["query_id", "rvid"]))
+    r = S.records(t, S.found(t, pool, "rvid", "rv")).withColumnRenamed("source_path", "full_path").withColumn("source_path", F.concat_ws("/", "namespace", "lang"))
     lab = t.labels.select("doc_id", "quality", "toxic")
     q = F.col("query_id")
     # retrieval ends here: the pools (queries x depth rows) are written once, the selection steps start from them
-    return cut_lineage(L.fuse(occ).withColumnRenamed("fused_rank", "rank").join(best, ["query_id", "rvid"]).join(r, "rvid").join(lab, "doc_id", "left")
+    return cut_lineage(pool.join(r, "rvid").join(lab, "doc_id", "left")
             .withColumn("q_mode", F.when(q % 3 == 0, "current_only").when(q % 3 == 1, "prefer_current").otherwise("any"))
             .withColumn("q_stage", F.when(q % 2 == 0, "debug").otherwise("act")))
 
@@ -147,7 +149,8 @@ s AS (SELECT *, sum(tok) OVER (PARTITION BY query_id ORDER BY rank) AS cum FROM
 SELECT query_id, rank, CASE WHEN rank = 1 AND tok > 600 THEN 600 ELSE tok END AS tokens, rank = 1 AND tok > 600 AS truncated,
  sha256(CASE WHEN rank = 1 AND tok > 600 THEN substring(text, 1, 2400) ELSE text END) AS text_hash FROM s WHERE cum <= 600 OR rank = 1"""))
 def _prefix(t):
-    c = lexical_hits(t, 20).join(S.corpus(t).select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id").withColumn("rvid", F.col("chunk_id"))
+    hits = cut_lineage(lexical_hits(t, 20))
+    c = hits.join(S.corpus(t, S.found(t, hits)).select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id").withColumn("rvid", F.col("chunk_id"))
     return L.expand_prefix(c, 600).select("query_id", "rank", "tokens", "truncated", F.sha2("text_out", 256).alias("text_hash"))
 
 

@@ -75,8 +75,15 @@ def with_ctes(names: str, body: str, recursive: bool = False) -> str:
     return f"{kw}{ctes}\n{body}"
 
 
-def corpus(t: Tables) -> DataFrame:
-    return t.documents.select(
+def found(t: Tables, hits: DataFrame, key: str = "chunk_id", prefix: str = "") -> DataFrame:
+    """The documents that a written table of hits names in ``key``: the texts of all others go no further than the scan."""
+    ids = hits.select(F.col(key).alias("_id")).distinct()
+    doc = F.concat(F.lit(prefix), "doc_id") if prefix else F.col("doc_id")
+    return t.documents.join(ids, doc == F.col("_id"), "left_semi")
+
+
+def corpus(t: Tables, documents: DataFrame | None = None) -> DataFrame:
+    return (t.documents if documents is None else documents).select(
         "doc_id", F.col("source").alias("namespace"), "lang",
         F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("source_path"),
         "text", F.sha2("text", 256).alias("content_hash"), "n_chars")
@@ -99,9 +106,9 @@ def curr_snapshot(t: Tables) -> DataFrame:
         F.lit("ck1").alias("chunker"), F.lit("active").alias("serving"))
 
 
-def records(t: Tables) -> DataFrame:
+def records(t: Tables, documents: DataFrame | None = None) -> DataFrame:
     n = F.col("n_chars")
-    return corpus(t).select(
+    return corpus(t, documents).select(
         F.concat(F.lit("rv"), "doc_id").alias("rvid"),
         F.concat_ws("_", F.lit("rec"), "namespace", F.expr("doc_id div 100").cast("string")).alias("record_id"),
         "doc_id",
