@@ -19,8 +19,8 @@ from corpusmill.functions.text import DESC_STOPWORDS, LEX_STOPWORDS
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])        # workers need not have this folder
 
-#: Bytes of text that are split at once.
-SLICE = 4 << 20
+#: Bytes and rows of text that are split at once.
+SLICE, ROWS = 4 << 20, 4096
 #: Characters whose classes have been the same since Unicode 8: Latin, punctuation, symbols.
 PLAIN = ((0, 0x300), (0x2000, 0x2C00))
 ODD = "[^\\u0000-\\u02ff\\u2000-\\u2bff]"
@@ -31,7 +31,7 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     ends = _offsets(texts)
     at = 0
     while at < len(texts):
-        after = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE, "right")) - 1)
+        after = max(at + 1, min(at + ROWS, int(np.searchsorted(ends, ends[at] + SLICE, "right")) - 1))
         yield at, after
         at = after
 
