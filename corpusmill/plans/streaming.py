@@ -97,9 +97,9 @@ def _index(t):
     half = docs.agg(F.expr("percentile_approx(doc_id, 0.5)")).first()[0]
     parts = [docs.filter(F.col("doc_id") <= half), docs.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1000 DAYS"))]
     for n, part in enumerate(parts):
-        part.write.parquet(f"{place}/in/part={n}")
+        part.write.option("compression", "zstd").parquet(f"{place}/in/part={n}")
         src = spark.readStream.schema(docs.schema).option("recursiveFileLookup", True).parquet(f"{place}/in")
         X.incremental_index(src, f"{place}/index", f"{place}/ckpt", buckets=8).awaitTermination()
     post = X.index_table(spark, f"{place}/index", "postings")
-    texts = post.withColumn("doc_id", F.substring_index("chunk_id", "#", 1)).groupBy("term").agg(F.count_distinct("doc_id").alias("n_texts"))
+    texts = post.withColumn("doc_id", F.substring_index("chunk_id", "#", 1).cast("bigint")).groupBy("term").agg(F.count_distinct("doc_id").alias("n_texts"))
     return X.index_table(spark, f"{place}/index", "terms").select("term", "cf").join(texts, "term")

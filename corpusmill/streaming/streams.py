@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators.chunking import chunk_blocks
-from corpusmill.operators.search import postings
+from corpusmill.operators.inverted import text_terms
 from corpusmill.session import cut_lineage
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -115,9 +115,16 @@ def _newest(rows: DataFrame) -> DataFrame:
     return rows.join(last, ["bucket", "batch"], "left_semi")
 
 
-def _put(df: DataFrame, path: str, batch_id: int) -> None:
+#: From so many new texts a bucket on, a batch's chunks and postings are written where they lie, some files a bucket; of smaller batches a bucket
+#: is one file.
+SPREAD = 1000
+
+
+def _put(df: DataFrame, path: str, batch_id: int, gather: bool = True) -> None:
     """Write one batch's folders; a retried batch replaces its own and no others."""
-    df.withColumn("batch", F.lit(batch_id).cast("bigint")).repartition("bucket").write.partitionBy("bucket", "batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    df = df.withColumn("batch", F.lit(batch_id).cast("bigint"))
+    df = df.repartition("bucket") if gather else df
+    df.write.partitionBy("bucket", "batch").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").mode("overwrite").parquet(path)
 
 
 INDEX_TABLES = {"seen": "content_hash string", "chunks": "doc_id bigint, chunk_id string, text string", "postings": "chunk_id string, term string, tf bigint, dl bigint",
@@ -130,27 +137,59 @@ def index_table(spark: SparkSession, out: str, name: str) -> DataFrame:
     return (_newest(rows) if name == "terms" else rows).drop("bucket", "batch")
 
 
+def _written(df: DataFrame, out: str, name: str, batch_id: int, gather: bool) -> DataFrame:
+    """Put a batch's rows into a table of the index and read them from there, so they are stored once. A retried batch, of whose first
+    try other buckets may be left, is read from a copy of its own."""
+    stored = _stored(df.sparkSession, f"{out}/{name}", INDEX_TABLES[name], None, None).filter(F.col("batch") == batch_id)
+    if not stored.isEmpty():
+        df = cut_lineage(df)
+        _put(df, f"{out}/{name}", batch_id, gather)
+        return df
+    _put(df, f"{out}/{name}", batch_id, gather)
+    return _stored(df.sparkSession, f"{out}/{name}", INDEX_TABLES[name], None, None).filter(F.col("batch") == batch_id).drop("batch")
+
+
+def _only(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Of rows with a ``_row`` those whose number is in the other table. A bit says it for each, so that the rows' texts are not shuffled."""
+    at = F.col("_row") + 1
+    marks = cut_lineage(numbers.groupBy(F.bitmap_bucket_number(at).alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits")))
+    bit = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("_bits", (F.call_function("div", bit, F.lit(8).cast("bigint")) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return rows.withColumn("_part", F.bitmap_bucket_number(at)).join(marks, "_part").filter(F.getbit(byte, (bit % 8).cast("int")) == 1).drop("_part", "_bits")
+
+
+def _postings(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, term, tf, dl), counted where the chunks lie. Chunks of one id, which come from texts of one doc_id, count as one."""
+    rows = text_terms(chunks.withColumn("source_path", F.lit(""))).select("chunk_id", F.inline("entries"), "dl").select("chunk_id", "term", "tf", "dl")
+    many = cut_lineage(chunks.groupBy("chunk_id").agg(F.count("*").alias("_n")).filter("_n > 1").select("chunk_id"))
+    if many.isEmpty():
+        return rows
+    shared = rows.join(many, "chunk_id", "left_semi").groupBy("chunk_id", "term").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+    return rows.join(many, "chunk_id", "left_anti").unionByName(shared)
+
+
 def add_to_index(docs: DataFrame, out: str, batch_id: int, max_chars: int = 1200, buckets: int = 64) -> None:
     """Add documents (doc_id, text, content_hash) to the index under ``out``; texts seen in earlier batches are left out,
     and of equal ones the smallest id counts.
 
     Only the buckets that the batch's hashes and terms fall into are read and written. Seen texts, chunks and postings are appended to their
     buckets; a bucket of term numbers is replaced by the sum of its last state and the batch. The same batch again gives the same folders.
+    Texts are written once as they come and once as chunks, and not shuffled here in a large batch; hashes and ids alone say which are new.
     """
     spark = docs.sparkSession
-    rows = cut_lineage(_bucketed(docs.select("doc_id", "text", "content_hash"), "content_hash", buckets))
+    rows = cut_lineage(_bucketed(docs.select("doc_id", "text", "content_hash"), "content_hash", buckets).withColumn("_row", F.monotonically_increasing_id()))
     hit = [r.bucket for r in rows.select("bucket").distinct().collect()]
     seen = _stored(spark, f"{out}/seen", INDEX_TABLES["seen"], hit, batch_id)
-    firsts = rows.groupBy("bucket", "content_hash").agg(F.min(F.struct("doc_id", "text")).alias("d")).select("bucket", "content_hash", "d.doc_id", "d.text")
+    firsts = rows.groupBy("bucket", "content_hash").agg(F.min(F.struct("doc_id", "_row")).alias("d")).select("bucket", "content_hash", "d._row")
     new = cut_lineage(firsts.join(seen.select("content_hash"), "content_hash", "left_anti"))
-    chunks = cut_lineage(_bucketed(chunk_blocks(new.drop("bucket"), max_chars).select("doc_id", F.concat_ws("#", "doc_id", "chunk_index").alias("chunk_id"), "text"), "chunk_id", buckets))
-    post = cut_lineage(_bucketed(postings(chunks.drop("bucket")), "term", buckets))
+    gather = new.count() < SPREAD * buckets
+    cut = chunk_blocks(_only(rows, new), max_chars).select("doc_id", F.concat_ws("#", "doc_id", "chunk_index").alias("chunk_id"), "text")
+    chunks = _written(_bucketed(cut, "chunk_id", buckets), out, "chunks", batch_id, gather)
+    post = _written(_bucketed(_postings(chunks), "term", buckets), out, "postings", batch_id, gather)
     changed = [r.bucket for r in post.select("bucket").distinct().collect()]
     old = _newest(_stored(spark, f"{out}/terms", INDEX_TABLES["terms"], changed, batch_id)).drop("batch")
     more = post.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     terms = old.unionByName(more).groupBy("bucket", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
-    _put(chunks, f"{out}/chunks", batch_id)
-    _put(post, f"{out}/postings", batch_id)
     _put(cut_lineage(terms), f"{out}/terms", batch_id)
     _put(new.select("content_hash", "bucket"), f"{out}/seen", batch_id)
 

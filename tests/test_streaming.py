@@ -66,3 +66,27 @@ def test_incremental_index_equals_batch(spark, tables, tmp_path):
     X.add_to_index(docs, str(tmp_path / "o"), 9)
     assert sorted(map(tuple, X.index_table(spark, str(tmp_path / "o"), "terms").collect())) == sorted(map(tuple, terms.collect()))
     assert X.index_table(spark, str(tmp_path / "o"), "postings").count() == want.count()
+
+
+def test_large_batches_are_written_where_they_lie(spark, tmp_path, monkeypatch):
+    """Repeated texts, ids of several texts, null ids and texts, with and without gathering; a text is copied once before it is cut."""
+    body = lambda i: "\n".join(f"word{(i * 7 + j) % 23} line{j} of{i}" for j in range(30))
+    data = [(i % 50, body(i % 60), f"h{i % 60}") for i in range(90)] + [(None, body(200), "h200"), (None, body(201), "h201"), (7, None, None), (3, "", "empty")]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, content_hash string")
+    firsts = docs.groupBy("content_hash").agg(F.min(F.struct("doc_id", "text")).alias("d")).select("d.*")
+    want = postings(chunk_blocks(firsts, 100).withColumn("chunk_id", F.concat_ws("#", "doc_id", "chunk_index"))).select("chunk_id", "term", "tf")
+    want = sorted(map(tuple, want.collect()))
+    copies, cut = [], X.cut_lineage
+    monkeypatch.setattr(X, "cut_lineage", lambda df: copies.append(df.columns) or cut(df))
+    for spread in (0, 1000):
+        monkeypatch.setattr(X, "SPREAD", spread)
+        out = str(tmp_path / str(spread))
+        copies.clear()
+        X.add_to_index(docs.repartition(3), out, 0, 100, 4)
+        assert sum("text" in c for c in copies) == 1 and not any("tf" in c for c in copies)
+        X.add_to_index(docs, out, 0, 100, 4)                                                     # once more
+        X.add_to_index(docs.filter("content_hash <> 'h1'"), out, 1, 100, 4)                      # nothing new
+        assert sorted(map(tuple, X.index_table(spark, out, "postings").select("chunk_id", "term", "tf").collect())) == want
+        cf = {t: sum(n for _, u, n in want if u == t) for _, t, _ in want}
+        assert {r.term: r.cf for r in X.index_table(spark, out, "terms").collect()} == cf
+        assert X.index_table(spark, out, "seen").filter("content_hash IS NOT NULL").count() == 63
