@@ -8,7 +8,7 @@ from corpusmill.operators import inverted as I
 from corpusmill.operators import selection as L
 from corpusmill.plans import shapes as S
 from corpusmill.plans.registry import query
-from corpusmill.plans.search import bench_queries, folded_index, lexical_hits
+from corpusmill.plans.search import bench_queries, both_hits, folded_index, lexical_hits
 from corpusmill.session import cut_lineage
 
 DEPTH = 20
@@ -48,15 +48,16 @@ S.register_cte("walked", """SELECT query_id, position, rvid, CASE WHEN blocked I
 S.register_cte("outcomes", "SELECT b.*, w.outcome FROM budgeted_rows b JOIN walked w USING (query_id, position, rvid)", ["walked"])
 
 
-def occurrences(t):
-    a = lexical_hits(t, DEPTH).select("query_id", F.concat(F.lit("rv"), "chunk_id").alias("rvid"), F.lit("lexical").alias("channel"), "rank", "score")
-    b = I.any_terms(folded_index(t), bench_queries(t), DEPTH).select(
-        "query_id", F.concat(F.lit("rv"), "chunk_id").alias("rvid"), F.lit("folded").alias("channel"), "rank", "score")
-    return a.unionByName(b)
+def occurrences(t, hits=None):
+    """``hits``: the (lexical, folded) ones, else from the session's indexes."""
+    a, b = hits or (lexical_hits(t, DEPTH), I.any_terms(folded_index(t), bench_queries(t), DEPTH))
+    of = lambda df, channel: df.select("query_id", F.concat(F.lit("rv"), "chunk_id").alias("rvid"), F.lit(channel).alias("channel"), "rank", "score")
+    return of(a, "lexical").unionByName(of(b, "folded"))
 
 
-def candidates(t):
-    occ = cut_lineage(occurrences(t))
+def candidates(t, occ=None):
+    """The pools; ``occ`` are the written occurrences where they are wanted for something else too."""
+    occ = cut_lineage(occurrences(t)) if occ is None else occ
     best = occ.groupBy("query_id", "rvid").agg(F.max("score").alias("relevance"))
     # written before it meets the records, so that Spark knows how small it is and leaves the texts of all others where they are
     pool = cut_lineage(L.fuse(occ).withColumnRenamed("fused_rank", "rank").join(best, ["query_id", "rvid"]))
@@ -69,29 +70,29 @@ def candidates(t):
             .withColumn("q_stage", F.when(q % 2 == 0, "debug").otherwise("act")))
 
 
-def filtered(t):
-    c = candidates(t).withColumn("group_path", F.col("source_path")).withColumn("source_path", F.col("full_path"))
+def filtered(t, occ=None):
+    c = candidates(t, occ).withColumn("group_path", F.col("source_path")).withColumn("source_path", F.col("full_path"))
     rules = c.select("query_id", "source_path", F.lit(None).cast("string").alias("content_hash"),
                      F.when(F.col("toxic") == 1, "privacy").when(F.col("quality") == 0, "forbidden").alias("reason"), F.lit(0).alias("priority")).filter("reason IS NOT NULL")
     stale = c.filter("lang = 'es'").select("query_id", "source_path", "content_hash")
     return L.hard_filter(c, rules, stale)
 
 
-def ordered(t):
+def ordered(t, occ=None):
     a = F.array(F.lit("src2"), F.lit("src3/en"))
-    c = filtered(t).withColumns({"q_namespace": F.lit("src1"), "q_components": a, "q_failures": F.col("q_stage") == "debug"})
+    c = filtered(t, occ).withColumns({"q_namespace": F.lit("src1"), "q_components": a, "q_failures": F.col("q_stage") == "debug"})
     s = L.score_candidates(c)
     return L.diversify(s.withColumn("source_path", F.col("group_path")))
 
 
-def budgeted(t):
-    o = ordered(t)
+def budgeted(t, occ=None):
+    o = ordered(t, occ)
     key = F.concat(F.lit("cch\u0000"), "content_hash")
     return L.collapse_duplicates(o, key)
 
 
-def outcomes(t):
-    b = budgeted(t).withColumn("tokens", F.ceil(F.length("text") / F.lit(4)).cast("bigint")).withColumn(
+def outcomes(t, occ=None):
+    b = budgeted(t, occ).withColumn("tokens", F.ceil(F.length("text") / F.lit(4)).cast("bigint")).withColumn(
         "blocked", F.when(F.col("hard"), "hard_filter").when(~F.col("cluster_head"), "duplicate_content"))
     return cut_lineage(L.select_within_budget(b, 2000, 6, 2))
 
@@ -173,23 +174,25 @@ S.register_cte("cov", """WITH m AS (SELECT r.query_id, r.req_id, o.rvid, o.outco
   FROM reqs r LEFT JOIN (SELECT query_id, req_id, array_to_string(list_sort(list_distinct(list(rvid))), ',') AS by FROM m WHERE outcome = 'selected' GROUP BY 1, 2) s USING (query_id, req_id)""", ["reqs", "outcomes"])
 
 
-def requirements(t):
+def requirements(t, occ):
+    """``occ``: the occurrences, whose first lexical ones are records that must be covered."""
     b, q = t.benchmark, F.col("item_id").alias("query_id")
     mk = lambda i, ty, v: b.select(q, F.lit(i).alias("req_id"), F.lit(ty).alias("type"), v.alias("value"))
-    top = lexical_hits(t, 1).select("query_id", F.lit("record").alias("req_id"), F.lit("record").alias("type"), F.concat(F.lit("rv"), "chunk_id").alias("value"))
+    top = occ.filter("channel = 'lexical' AND rank = 1").select("query_id", F.lit("record").alias("req_id"), F.lit("record").alias("type"), F.col("rvid").alias("value"))
     return (mk("any", "any_evidence", F.lit("")).union(mk("path", "path", F.concat(F.lit("src"), F.col("item_id") % 20, F.lit("/"))))
             .union(mk("literal", "literal", F.regexp_extract("text", "[a-z]{6,}", 0))).union(top))
 
 
-def covered(t, out=None):
-    o = (out if out is not None else outcomes(t)).withColumn("source_path", F.col("full_path"))
+def covered(t, occ, out):
+    o = out.withColumn("source_path", F.col("full_path"))
     cols = ["query_id", "rvid", "record_id", "source_path", "text"]
-    return L.coverage(requirements(t), o.filter("outcome = 'selected'").select(*cols), o.select(*cols))
+    return L.coverage(requirements(t, occ), o.filter("outcome = 'selected'").select(*cols), o.select(*cols))
 
 
 @query("evidence_coverage", S.with_ctes("cov", "SELECT * FROM cov", recursive=True))
 def _coverage(t):
-    return covered(t)
+    occ = cut_lineage(occurrences(t, both_hits(t, DEPTH)))
+    return covered(t, occ, outcomes(t, occ))
 
 
 @query("packet_disposition", S.with_ctes("cov", """
@@ -202,12 +205,13 @@ def _disposition(t):
 
 
 def dispositions(t):
-    o = outcomes(t)
+    occ = cut_lineage(occurrences(t))
+    o = outcomes(t, occ)
     sel, cur = F.col("outcome") == "selected", F.col("status") == "current"
     flags = o.groupBy("query_id").agg(
         F.bool_or(~cur & sel & (F.col("query_id") % 5 == 0)).alias("provenance_failed"),
         (F.count_if(sel & cur) > F.count_distinct(F.when(sel & cur, F.col("record_id")))).alias("conflicted"))
-    return L.disposition(bench_queries(t), covered(t, o), flags)
+    return L.disposition(bench_queries(t), covered(t, occ, o), flags)
 
 
 # Decisions: the records read as policy records; French ones stand, German ones are invariants.
